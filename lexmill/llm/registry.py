@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import quality_rules
+from lexmill.llm import decontamination, minhash_dedup, quality_rules, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op3_minhash_dedup": minhash_dedup.query,
+        "op5_token_counts": token_counts.query,
+        "op10_decontamination": decontamination.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op3_minhash_dedup": minhash_dedup.SQL,
+        "op10_decontamination": decontamination.SQL,
     }
