@@ -196,7 +196,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
 
     # texts of the classes that meet another one: read once for all comparisons
     active = tables.join(pivots.select("key"), "key", "left_semi").select("cid", "rep").distinct()
-    with_text = docs.join(active.withColumnRenamed("rep", "doc_id"), "doc_id").select("cid", "doc_id", "text")
+    with_text = docs.join(active, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
 
     def own_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Only the row whose text has the class' set: an id can have other texts too."""
@@ -219,7 +219,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
         )
         return joined.select("u", "v", "text_u", "text_v").mapInPandas(_confirm(words, percent), "u binary, v binary")
 
-    nodes = classes.select(F.col("cid").alias("node"), F.col("rep").alias("ord"))
+    nodes = classes.select(F.col("cid").alias("node"), F.struct(F.col("rep").isNull().alias("none"), "rep").alias("ord"))
     nothing = stars.select("u", "v").limit(0)
     first = stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u")).select("u", "v")
     tested, links = nothing, nothing
@@ -256,7 +256,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
             links = links.union(new)
             labels = components(nodes, links)
 
-    named = classes.select("cid", "rep").join(labels.select(F.col("node").alias("cid"), F.col("label.ord").alias("low")), "cid", "left")
+    named = classes.select("cid", "rep").join(labels.select(F.col("node").alias("cid"), F.col("label.ord.rep").alias("low")), "cid", "left")
     named = named.select(F.col("cid").alias("c2"), F.coalesce("low", "rep").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "cid").join(named, F.col("cid") == F.col("c2"), "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
@@ -279,11 +279,11 @@ s AS (
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 keyed AS (SELECT doc_id, hash(k) AS h, k FROM s),
-both AS (
+pairs AS (
   SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c
   FROM keyed a JOIN keyed b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
-  SELECT u, v FROM both JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
+  SELECT u, v FROM pairs JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v
   WHERE 100 * c >= 80 * (nu.n + nv.n - c)),
 e AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, e.v FROM reach JOIN e ON e.u = reach.r)
