@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontamination, minhash_dedup, quality_rules, token_counts
+from lexmill.llm import (
+    decontamination,
+    language_id,
+    minhash_dedup,
+    mixing,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.query,
         "op3_minhash_dedup": minhash_dedup.query,
         "op5_token_counts": token_counts.query,
+        "op7_source_mix": mixing.query,
+        "op8_language_id": language_id.query,
+        "op9_quality_classifier": quality_classifier.query,
         "op10_decontamination": decontamination.query,
     }
 
