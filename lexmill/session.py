@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -46,9 +48,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared folder and cuts its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared folder: its lineage is cut, it is computed once, a lost executor costs
+    nothing, and later plans start without the constraints and sizes guessed for the old one."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def release() -> None:
+    """Deletes the tables that cut() has written; what was made of them must be consumed by then."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
