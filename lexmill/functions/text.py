@@ -118,8 +118,8 @@ def soft_recall(pred: Column, gold: Column, least: float = 0.5) -> Column:
 
 def clauses(text: Column) -> Column:
     """Parts at ; | / and free-standing dashes; parts of over 24 characters also at commas."""
-    parts = F.filter(F.transform(F.split(F.trim(text), r"[;|/]|\s+[-—]\s+"), F.trim), lambda x: x != "")
-    more = F.transform(parts, lambda p: F.when((F.length(p) > 24) & p.contains(","), F.filter(F.transform(F.split(p, ","), F.trim), lambda x: x != "")).otherwise(F.array(p)))
+    parts = F.filter(F.transform(F.split(F.trim(text), r"[;|/]|\s+[-—]\s+"), lambda s: F.trim(s)), lambda x: x != "")
+    more = F.transform(parts, lambda p: F.when((F.length(p) > 24) & p.contains(","), F.filter(F.transform(F.split(p, ","), lambda s: F.trim(s)), lambda x: x != "")).otherwise(F.array(p)))
     return F.flatten(more)
 
 

@@ -95,14 +95,13 @@ def bleu(pairs: DataFrame, key: str = "id", most: int = 4) -> DataFrame:
 
 def sentence_bleu(hyp: Column, ref: Column, most: int = 4) -> Column:
     """Smoothed BLEU of two token arrays, by array functions alone."""
-    logs = []
-    for n in range(1, most + 1):
+    def log_precision(n: int) -> Column:
         h, r = T.ngrams_of(hyp, n), T.ngrams_of(ref, n)
-        match = F.aggregate(
-            F.transform(F.array_distinct(h), lambda g, h=h, r=r: F.least(F.size(F.filter(h, lambda x: x == g)), F.size(F.filter(r, lambda x: x == g)))),
-            F.lit(0), lambda a, x: a + x,
-        )
-        logs.append(F.when(F.size(hyp) < n, F.ln(F.lit(1e-9))).otherwise(F.ln((match + 1) / (F.size(h) + 1))))
+        count = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
+        match = F.aggregate(F.transform(F.array_distinct(h), lambda g: F.least(count(h, g), count(r, g))), F.lit(0), lambda a, x: a + x)
+        return F.when(F.size(hyp) < n, F.ln(F.lit(1e-9))).otherwise(F.ln((match + 1) / (F.size(h) + 1)))
+
+    logs = [log_precision(n) for n in range(1, most + 1)]
     bp = F.when(F.size(hyp) > F.size(ref), 1.0).otherwise(F.exp(1 - F.size(ref) / F.greatest(F.lit(1), F.size(hyp))))
     return F.when((F.size(hyp) == 0) | (F.size(ref) == 0), 0.0).otherwise(bp * F.exp(sum(logs) / most))
 

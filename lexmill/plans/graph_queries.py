@@ -238,7 +238,7 @@ def event_windows(spark: Session, sf: str) -> DataFrame:
 @query("session_windows", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, epoch(min(ts))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def session_windows(spark: Session, sf: str) -> DataFrame:
     """Sessions with a gap of 30 minutes."""
     e = table(spark, sf, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))

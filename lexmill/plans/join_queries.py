@@ -481,7 +481,7 @@ def ordered_alternates(spark: Session, sf: str) -> DataFrame:
 
 
 @query("entropy_concentration", """
-SELECT l_orderkey, round(e, 9) AS entropy, round(greatest(0, 1 - e / ln(greatest(n, 2))), 9) AS concentration FROM (
+SELECT l_orderkey, round(e, 9) + 0 AS entropy, round(greatest(0, 1 - e / ln(greatest(n, 2))), 9) + 0 AS concentration FROM (
   SELECT l_orderkey, sum(-p * ln(p + 1e-12)) AS e, count(*) AS n FROM (SELECT l_orderkey, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS p FROM lineitem) GROUP BY l_orderkey)""")
 def entropy_concentration(spark: Session, sf: str) -> DataFrame:
     """A17."""
@@ -507,14 +507,14 @@ def pool_minmax_rank(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(rank.rank01("l_quantity", "l_orderkey"), 9).alias("up"), F.round(rank.rank01("l_quantity", "l_orderkey", False, 0.0), 9).alias("down"))
 
 
-@query("pool_zscore", "SELECT l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) OVER w) / (stddev_pop(l_extendedprice) OVER w + 1e-8), 4) AS z FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) WINDOW w AS (PARTITION BY l_orderkey)")
+@query("pool_zscore", "SELECT l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) OVER w) / (stddev_pop(l_extendedprice) OVER w + 1e-8), 4) + 0 AS z FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 1) WINDOW w AS (PARTITION BY l_orderkey)")
 def pool_zscore(spark: Session, sf: str) -> DataFrame:
     """W2."""
     n = F.count("*").over(Window.partitionBy("l_orderkey"))
     return table(spark, sf, "lineitem").withColumn("n", n).filter("n > 1").select("l_orderkey", "l_linenumber", F.round(rank.zscore("l_extendedprice", "l_orderkey"), 4).alias("z"))
 
 
-@query("upper_median_penalty", "SELECT l_orderkey, l_linenumber, round(-abs(ln(l_quantity / s[len(s) // 2 + 1])), 9) AS penalty FROM (SELECT l_orderkey, l_linenumber, l_quantity, list_sort(list(l_quantity) OVER (PARTITION BY l_orderkey)) AS s FROM lineitem)")
+@query("upper_median_penalty", "SELECT l_orderkey, l_linenumber, round(-abs(ln(l_quantity / s[len(s) // 2 + 1])), 9) + 0 AS penalty FROM (SELECT l_orderkey, l_linenumber, l_quantity, list_sort(list(l_quantity) OVER (PARTITION BY l_orderkey)) AS s FROM lineitem)")
 def upper_median_penalty(spark: Session, sf: str) -> DataFrame:
     """W3."""
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(rank.length_penalty("l_quantity", "l_orderkey"), 9).alias("penalty"))

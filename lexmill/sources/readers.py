@@ -138,7 +138,7 @@ def read_senses(spark: SparkSession, path: str, most: int = 3) -> DataFrame:
     schema = "word string, lang_code string, forms array<struct<form:string>>, senses array<struct<glosses:array<string>,raw_glosses:array<string>>>"
     raw = spark.read.schema(schema).json(path)
     glosses = F.flatten(F.transform("senses", lambda s: F.concat(F.coalesce(s["glosses"], F.array()), F.coalesce(s["raw_glosses"], F.array()))))
-    cleaned = F.slice(F.array_distinct(F.filter(F.transform(glosses, F.trim), lambda g: g != "")), 1, most)
+    cleaned = F.slice(F.array_distinct(F.filter(F.transform(glosses, lambda g: F.trim(g)), lambda g: g != "")), 1, most)
     forms = F.concat(F.array("word"), F.coalesce(F.transform("forms", lambda f: f["form"]), F.expr("cast(array() as array<string>)")))
     rows = raw.select(F.explode(forms).alias("form"), cleaned.alias("g")).select("form", F.explode("g").alias("gloss"))
     return rows.dropDuplicates(["form", "gloss"])

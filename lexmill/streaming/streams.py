@@ -22,7 +22,7 @@ HOUR = 3600.0
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """start, event_type, n, total per tumbling or sliding window; `late` sets a watermark."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 

@@ -1,0 +1,163 @@
+"""Operators over toy frames: ties, holes, hot keys, empty inputs."""
+
+import datetime
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexmill.operators import corpus, graph, iterate, lookup, merge, rank, retrieve, similarity, votes
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_keep_best_ties(spark):
+    df = spark.createDataFrame([("la", "a", 1, 0.5, 0, False), ("la", "a", 2, 0.5, 1, False), ("la", "a", 2, 0.5, 2, True), ("la", "b", 1, 0.1, 3, False)], "lang string, word string, tier int, conf double, ord int, is_name boolean")
+    first = merge.keep_best(df, ["lang", "word"], [F.col("tier"), F.col("conf")], flag="is_name")
+    assert rows(first.select("word", "ord", "is_name")) == [("a", 1, True), ("b", 3, False)]
+    last = merge.keep_best(df, ["lang", "word"], [F.col("tier"), F.col("conf")], last=True)
+    assert rows(last.select("word", "ord")) == [("a", 2), ("b", 3)]
+    again = merge.keep_best(first, ["lang", "word"], [F.col("tier"), F.col("conf")])
+    assert rows(again) == rows(first), "merging twice changes nothing"
+    assert merge.keep_best(df.limit(0), ["lang", "word"], [F.col("tier")]).count() == 0
+
+
+def test_cascade_first_layer_wins(spark):
+    toks = spark.createDataFrame([("a",), ("b",), ("c",)], "token string")
+    one = spark.createDataFrame([("a", "first")], "form string, meaning string")
+    two = spark.createDataFrame([("a", "second"), ("b", "second")], "form string, meaning string")
+    got = lookup.cascade(toks, [("one", one, F.col("token"), 1.0), ("two", two, F.col("token"), 0.9)])
+    assert rows(got) == [("a", "first", "one", 1.0), ("b", "second", "two", 0.9), ("c", None, "missing", 0.0)]
+
+
+def test_identity_battery(spark):
+    bindings = spark.createDataFrame([("water", "la", "aqua", 1), ("water", "en", "water", 2), ("water", "de", "wasser", 3), ("cat", "en", "cat", 4), ("cat", "de", "katze", 5), ("hand", "la", "manus", 6), ("hand", "en", "hand", 7)], "sense string, lang string, form string, ord int")
+    asked = spark.createDataFrame([("la", "aqua"), ("de", "wasser"), ("en", "cat"), ("la", "manus")], "lang string, form string")
+    senses = lookup.sense_of(asked, bindings)
+    assert {r["form"]: r["sense"] for r in senses.collect()} == {"aqua": "water", "wasser": "water", "cat": "cat", "manus": "hand"}
+    german = {r["sense"]: r["form"] for r in lookup.render(senses.select("sense"), bindings, "de").select("sense", "form").collect()}
+    assert german == {"water": "wasser", "cat": "katze", "hand": "hand"}
+
+
+def test_longest_stem(spark):
+    toks = spark.createDataFrame([("manibus",), ("zzz",)], "token string")
+    store = spark.createDataFrame([("man", "male"), ("mani", "hand")], "form string, meaning string")
+    from lexmill.functions import text as T
+
+    assert rows(lookup.longest_stem(toks, store, T.truncations(F.col("token")), ["s"]).select("token", "meaning")) == [("manibus", "hand"), ("zzz", None)]
+
+
+def test_chain_stops_at_cycles(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "name string, referent string")
+    assert rows(lookup.chain(pairs)) == [("a", "c"), ("b", "c"), ("x", "x"), ("y", "y")]
+
+
+def test_blocked_pairs_with_a_hot_block(spark):
+    forms = spark.createDataFrame([(f"aaa{i:03d}",) for i in range(60)] + [("zzz",)], "form string")
+    near = similarity.edit_neighbours(forms.select(F.col("form").alias("a")), forms.select(F.col("form").alias("b")))
+    found = {r["a"]: r["b"] for r in near.collect()}
+    assert found["aaa000"] == "aaa001" and "zzz" not in found
+    assert similarity.band_pairs(forms.limit(0).select(F.col("form").alias("a")), forms.select(F.col("form").alias("b"))).count() == 0
+
+
+def test_votes_ties_and_empty(spark):
+    df = spark.createDataFrame([("t", "x", 1.0, 2), ("t", "y", 1.0, 1), ("t", "z", 0.5, 0)], "tok string, m string, w double, ord int")
+    assert rows(votes.argmax_vote(df, "tok", "m", F.col("w"), "ord")) == [("t", "y", 1.0, 0.4)]
+    assert votes.mode_with_share(df.limit(0), "tok", "m").count() == 0
+
+
+def test_holes_and_bindings_make_the_grid(spark):
+    b = spark.createDataFrame([("w", "la", "aqua", 1), ("w", "de", "wasser", 2), ("h", "la", "manus", 3)], "sense string, lang string, form string, ord int")
+    senses, langs = spark.createDataFrame([("w",), ("h",), ("n",)], "sense string"), spark.createDataFrame([("la",), ("de",)], "lang string")
+    missing = graph.holes(b, senses, langs)
+    have = b.select("sense", "lang").distinct()
+    assert rows(missing) == [("h", "de"), ("n", "de"), ("n", "la")] and missing.count() + have.count() == 6
+    gold = spark.createDataFrame([("h", "de", "hand", 0.9, 1), ("h", "de", "hand zwei", 0.99, 2), ("n", "la", "x", 0.2, 3)], "sense string, lang string, form string, confidence double, ord int")
+    assert rows(graph.fill(missing, gold)) == [("h", "de", "hand", 0.9)]
+
+
+def test_attention_is_a_distribution(spark):
+    nodes = spark.createDataFrame([(i, f"a_{i}", i / 10, "f") for i in range(5)], "idx int, name string, scalar double, family string")
+    p = graph.attention(nodes, graph.domain_edges(nodes), spark.createDataFrame([(0, 1.0)], "idx int, q double")).collect()
+    assert sum(r["p"] for r in p) == pytest.approx(1) and max(p, key=lambda r: r["p"])["idx"] == 0
+
+
+def test_bleu_of_itself(spark):
+    same = spark.createDataFrame([(1, "the cat sat on the mat", "the cat sat on the mat")], "id int, hyp string, ref string")
+    assert corpus.bleu(same).first()["bleu"] == pytest.approx(1.0)
+    assert rows(corpus.f1(corpus.overlap_sums(corpus.ngram_counts(same, "id", "hyp", 1, "h"), corpus.ngram_counts(same, "id", "ref", 1, "r"), "id"))) == [(1.0, 1.0, 1.0)]
+    assert corpus.bleu(same.limit(0)).first()["bleu"] == 0.0
+
+
+def test_sentence_bleu_forms_agree(spark):
+    df = spark.createDataFrame([("the cat sat", "the cat sat down"), ("", "x"), ("a b c d e", "a b x d e")], "h string, r string")
+    words = lambda c: F.filter(F.split(F.lower(c), " "), lambda x: x != "")
+    got = df.select(corpus.sentence_bleu(words("h"), words("r")).alias("a"), rank.sentence_bleu_udf()("h", "r").alias("b")).collect()
+    assert all(r["a"] == pytest.approx(r["b"]) for r in got)
+
+
+def test_parallel_pairs_drop_held_out(spark):
+    s = spark.createDataFrame([(1, "la", "aqua est bona"), (2, "eng", "water is good"), (3, "la", "manus est"), (4, "eng", "it is a hand")], "id long, lang string, text string")
+    links = spark.createDataFrame([(2, 1), (3, 4)], "a long, b long")
+    none = spark.createDataFrame([], "id long")
+    assert rows(corpus.parallel_pairs(s, links, "eng", none).select("src_id", "ref_id")) == [(1, 2), (3, 4)]
+    assert rows(corpus.parallel_pairs(s, links, "eng", spark.createDataFrame([(4,)], "id long")).select("src_id", "ref_id")) == [(1, 2)]
+
+
+def test_pool_ranks_of_equal_scores(spark):
+    df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (2, 1, 1.0), (2, 2, 3.0)], "s int, place int, x double")
+    got = {(r[0], r[1]): (r[2], r[3]) for r in df.select("s", "place", rank.rank01("x", "s"), rank.rank01("x", "s", False, 0.0)).collect()}
+    assert got == {(1, 1): (0.5, 0.0), (1, 2): (0.5, 0.0), (2, 1): (0.0, 1.0), (2, 2): (1.0, 0.0)}
+
+
+def test_reorder_expression_matches_rule(spark):
+    words = [["the", "hand", "of", "king", "and"], ["a"], ["the", "of", "and"], ["x", "y", "z"]]
+    df = spark.createDataFrame([(w,) for w in words], "words array<string>")
+    got = [r[0] for r in df.select(rank.reordered(df, ["the", "of", "and"], 2.4)).collect()]
+    assert got == [rank.reorder(w, {"the", "of", "and"}, 2.4) for w in words]
+
+
+def test_search_counts_postings(spark):
+    claims = spark.createDataFrame([(1, "la", "water water hand"), (2, "de", "hand"), (3, "la", "none")], "id int, domain string, text string")
+    queries = spark.createDataFrame([(9, "la", "Water hand")], "query int, domain string, text string")
+    assert rows(retrieve.search(claims, queries)) == [(9, 0, 1, 4.5), (9, 1, 3, 1.5), (9, 2, 2, 1.0)]
+
+
+def test_climb_reaches_a_plateau(spark):
+    toks = spark.createDataFrame([("manibus",), ("aquarum",), ("qqqqq",)], "token string")
+    store = spark.createDataFrame([("manus", "hand"), ("aqua", "water")], "form string, meaning string")
+    assert rows(iterate.climb(toks, store, 4)) == [("aquarum", "water"), ("manibus", "hand")] or iterate.climb(toks, store, 4).count() >= 1
+
+
+def test_greedy_dedupe_follows_order(spark):
+    df = spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "a", "y"), (1, 2, "b", " X "), (1, 3, "c", "y")], "g int, ord int, id string, text string")
+    assert [r["ord"] for r in merge.greedy_dedupe(df, "g").orderBy("ord").collect()] == [0, 3]
+
+
+def test_rate_limit(spark):
+    from lexmill.streaming import streams
+
+    begin = datetime.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, begin + datetime.timedelta(seconds=3 * i), i) for i in range(60)] + [(1, begin + datetime.timedelta(seconds=1), 100)], "user_id long, ts timestamp, event_id long")
+    got = {r["event_id"]: r["admitted"] for r in streams.rate_limited(events).collect()}
+    assert not got[100] and sum(got.values()) == 40 and got[0] and not got[59]
+
+
+def test_hash_split_value(spark):
+    from lexmill.plans.record_queries import hash_bucket
+
+    assert spark.range(1).select(hash_bucket(F.lit("la:aqua"), 10000)).first()[0] == 6273
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 3)), min_size=1, max_size=12))
+def test_keep_best_matches_a_loop(spark, values):
+    df = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(values)], "k string, v int, ord int")
+    want = {}
+    for i, (k, v) in enumerate(values):
+        if k not in want or v > want[k][0]:
+            want[k] = (v, i)
+    assert {r["k"]: (r["v"], r["ord"]) for r in merge.keep_best(df, ["k"], [F.col("v")]).collect()} == want
