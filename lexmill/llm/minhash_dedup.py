@@ -3,14 +3,17 @@
 Two collections of `m` sub-keys, each of `r` minimum hashes, are computed for every different shingle set.
 The key of table (i, j) pairs sub-key i of the first collection with sub-key j of the second: m * m tables
 of 2r hashes from only 2m * r hashes. Two sets of similarity s meet in some table with the probability
-(1 - (1 - s^r)^m)^2, which at s = 0.8 and the defaults is 0.9996. A sub-key that no other set has can't be
+(1 - (1 - s^r)^m)^2, which at s = 0.8 and the defaults is 0.996. A sub-key that no other set has can't be
 part of a shared key, so only the shared ones are multiplied out.
 
 Copies are never compared: documents with equal sets form a class and its smallest id stands for it. Within
-a table's bucket classes are compared with a pivot (a star, linear in the bucket), and first with the pivot
-that they meet in most tables. What the stars leave open, pairs of one bucket that are still in different
-components, is compared in full, so no candidate is dropped. Components are found by distributed label
-propagation with pointer jumping.
+a table's bucket classes meet a pivot (a star, linear in the bucket); pairs whose lengths or one-bit sketches
+rule a link out are dropped (the sketch by more than six standard deviations). Each class is first compared
+with the pivot that it meets in most tables. Classes that the stars tie together are a family. Where a family is
+still in several components, each class outside the largest one is compared with the whole family, in blocks
+of `BLOCK` by `BLOCK` classes, with an inverted index in each, so neither the rows nor a task grow with the
+square of a family. Every link is confirmed on the whole sets of words. Components are found by distributed
+label propagation with pointer jumping.
 
 Cases: null, empty and wordless texts have an empty set and are linked with nothing; a single word is its own
 set; repeated rows are returned one by one and share a component; a null id is never a component's name
@@ -24,16 +27,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import pick
+from lexmill.llm.common import fresh, pick
 from lexmill.session import cut
 
 WORDS = 2
 PERCENT = 80
 SUBKEYS = 12
-HASHES = 3
+HASHES = 4
+BLOCK = 1024
+#: Estimated similarity, from one bit of each minimum hash, below which a pair is no candidate.
+SKETCH_FLOOR = 0.42
 SEED = 20_240_607
 #: Distinct words whose hashes a worker remembers.
 REMEMBERED = 500_000
@@ -91,9 +97,10 @@ def _signatures(k: int, m: int, r: int):
     mul = rng.integers(1 << 62, size=2 * m * r, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     add = rng.integers(1 << 62, size=2 * m * r, dtype=np.uint64)
 
-    def sketch(sets: list[np.ndarray]) -> np.ndarray:
-        """2m sub-keys a row."""
+    def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """2m sub-keys a row, and one bit of each minimum hash, packed into longs."""
         out = np.zeros((len(sets), 2 * m), np.uint64)
+        packed = np.zeros((len(sets), -(-2 * m * r // 64)), np.uint64)
         todo = [i for i, s in enumerate(sets) if len(s)]
         at = 0
         while at < len(todo):  # in blocks that fit the cache
@@ -105,23 +112,27 @@ def _signatures(k: int, m: int, r: int):
             block = np.concatenate([sets[i] for i in rows])
             starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in rows])[:-1]])
             keys = np.zeros((len(rows), 2 * m), np.uint64)
+            bits = np.zeros((len(rows), packed.shape[1]), np.uint64)
             for t in range(2 * m * r):
                 low = np.minimum.reduceat((block * mul[t] + add[t]) >> np.uint64(32), starts)
+                bits[:, t // 64] |= (_mix(low) & np.uint64(1)) << np.uint64(t % 64)
                 keys[:, t // r] = _mix(keys[:, t // r] * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(1))
-            out[rows] = keys
+            out[rows], packed[rows] = keys, bits
             at = end
-        return out
+        return out, packed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
         for batch in batches:
             sets = [shingle_hashes(t, k, hashes) for t in batch["text"]]
-            keys = sketch(sets).view(np.int64)
+            keys, bits = (x.view(np.int64) for x in sketch(sets))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"],
+                "key": batch["key"],
                 "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "cid": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                 "sub": list(keys),
+                "bits": list(bits),
             })
 
     return run
@@ -167,104 +178,152 @@ def near_duplicates(
     return _classified(docs, words, percent, subkeys, hashes).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def _links_between(k: int, percent: int):
+    """Links between the open classes of a block and a block of their family, one per open class and component
+    of the other side. Shingle hashes find them by an inverted index, whole sets confirm them."""
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            hashes = _WordHashes()
+            sets = [shingle_hashes(t, k, hashes) for t in right["text"]]
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(sets)), sizes)[order]
+            homes, ids, texts = list(right["home"]), list(right["c"]), list(right["text"])
+            for c, home, text in zip(left["c"], left["home"], left["text"], strict=True):
+                own = shingle_hashes(text, k, hashes)
+                lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+                width = hi - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                likely = np.flatnonzero(100 * both >= percent * (len(own) + sizes - both))
+                mine, seen = None, {home}
+                for j in likely:
+                    if homes[j] in seen:
+                        continue
+                    mine = shingles_of(text, k) if mine is None else mine
+                    if similar(mine, shingles_of(texts[j], k), percent):
+                        seen.add(homes[j])
+                        found.append((c, ids[j]))
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    return run
+
+
+def _sketch_agrees(a: str, b: str, bits: int, floor: float) -> Column:
+    """Whether two arrays of longs agree in as many bits as the similarity `floor` would make them."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    return apart <= bits * (1 - floor) / 2
+
+
 def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes: int) -> DataFrame:
     docs = pick(docs, doc_id="doc_id", text="text")
     kind = dict(docs.dtypes)["doc_id"]
-    sketched = cut(docs.mapInPandas(_signatures(words, subkeys, hashes), f"doc_id {kind}, n_shingles long, cid binary, sub array<long>"))
+    keyed = docs.withColumn("key", F.xxhash64("text"))
+    sketched = cut(keyed.mapInPandas(_signatures(words, subkeys, hashes), f"doc_id {kind}, key long, n_shingles long, cid binary, sub array<long>, bits array<long>"))
     classes = cut(
         sketched.filter(F.col("cid").isNotNull())
         .groupBy("cid")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sub").alias("sub"))
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sub").alias("sub"), F.first("bits").alias("bits"))
     )
+    # a class goes by its smallest id, or by the hash of its set if an id is null or has several sets
+    plain = not classes.groupBy("rep").agg(F.count("*").alias("c")).filter("c > 1 or rep is null").limit(1).count()
+    classes = classes.withColumn("c", F.col("rep" if plain else "cid"))
+    c_kind = dict(classes.dtypes)["c"]
 
     # sub-keys that at least two classes have, multiplied out to table keys
-    single = classes.select("cid", "rep", "n", F.posexplode("sub").alias("i", "key"))
-    shared = single.groupBy("i", "key").agg(F.count("*").alias("c")).filter("c > 1").select("i", "key")
-    halves = single.join(shared, ["i", "key"], "left_semi").groupBy("cid", "rep", "n").agg(F.collect_list(F.struct("i", "key")).alias("s"))
-    halves = halves.select("cid", "rep", "n", F.filter("s", lambda x: x["i"] < subkeys).alias("a"), F.filter("s", lambda x: x["i"] >= subkeys).alias("b"))
-    halves = halves.select("cid", "rep", "n", F.explode("a").alias("a"), "b")
-    halves = halves.select("cid", "rep", "n", F.explode(F.transform("b", lambda x: F.xxhash64(F.col("a.i"), F.col("a.key"), x["i"], x["key"]))).alias("key"))
-    tables = cut(halves)
-    pivots = tables.groupBy("key").agg(F.min(F.struct("rep", "cid", "n")).alias("pivot"), F.count("*").alias("c")).filter("c > 1")
+    single = classes.select("c", F.posexplode("sub").alias("i", "key"))
+    shared = single.groupBy("i", "key").agg(F.count("*").alias("k")).filter("k > 1").select("i", "key")
+    halves = single.join(shared, ["i", "key"], "left_semi").groupBy("c").agg(F.collect_list(F.struct("i", "key")).alias("s"))
+    halves = halves.select("c", F.filter("s", lambda x: x["i"] < subkeys).alias("a"), F.filter("s", lambda x: x["i"] >= subkeys).alias("b"))
+    halves = halves.select("c", F.explode("a").alias("a"), "b")
+    tables = cut(halves.select("c", F.explode(F.transform("b", lambda x: F.xxhash64(F.col("a.i"), F.col("a.key"), x["i"], x["key"]))).alias("key")))
+    pivots = tables.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("last")).filter("u < last").select("key", "u")
+    met = tables.join(pivots, "key").filter("c <> u").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("met"))
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     stars = cut(
-        tables.join(pivots.select("key", "pivot"), "key")
-        .filter(F.col("cid") != F.col("pivot.cid"))
-        .filter(100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n"))
-        .groupBy(F.col("pivot.cid").alias("u"), F.col("cid").alias("v"))
-        .agg(F.count("*").alias("met"), F.first("pivot.rep").alias("rep_u"), F.first("rep").alias("rep_v"))
+        met.join(side("v"), "v").join(side("u"), "u")
+        .filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+        .filter(_sketch_agrees("bits_u", "bits_v", 2 * subkeys * hashes, SKETCH_FLOOR))
+        .select("u", "v", "met")
     )
 
-    # texts of the classes that meet another one: read once for all comparisons
-    active = tables.join(pivots.select("key"), "key", "left_semi").select("cid", "rep").distinct()
-    with_text = docs.join(active, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
-
-    def own_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Only the row whose text has the class' set: an id can have other texts too."""
-        own = _WordHashes()
-        for batch in batches:
-            keep = [xxhash.xxh3_128_digest(shingle_hashes(t, words, own).tobytes()) == bytes(c) for t, c in zip(batch["text"], batch["cid"], strict=True)]
-            yield batch.loc[np.array(keep, bool), ["cid", "text"]]
-
-    repeated = sketched.filter(F.col("cid").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count()
-    if repeated:
-        with_text = with_text.mapInPandas(own_class, "cid binary, text string").dropDuplicates(["cid"])
-    texts = with_text.select("cid", "text")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of pairs (u, v), those whose whole sets are similar enough."""
-        joined = (
-            pairs.select("u", "v")
-            .join(texts.select(F.col("cid").alias("v"), F.col("text").alias("text_v")), "v")
-            .join(texts.select(F.col("cid").alias("u"), F.col("text").alias("text_u")), "u")
-        )
-        return joined.select("u", "v", "text_u", "text_v").mapInPandas(_confirm(words, percent), "u binary, v binary")
-
-    nodes = classes.select(F.col("cid").alias("node"), F.struct(F.col("rep").isNull().alias("none"), "rep").alias("ord"))
-    nothing = stars.select("u", "v").limit(0)
-    first = stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u")).select("u", "v")
-    tested, links = nothing, nothing
-    labels = nodes.limit(0).select("node", F.struct("ord", F.col("node").alias("id")).alias("label"))
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs that are still in different components and not compared yet."""
-        of = lambda c: labels.select(F.col("node").alias(c), F.col("label.id").alias(f"in_{c}"))
-        found = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
-        found = found.filter(F.coalesce("in_u", "u") != F.coalesce("in_v", "v"))
-        return found.join(tested, ["u", "v"], "left_anti").select("u", "v").distinct()
-
-    def rest() -> DataFrame:
-        """All pairs of one bucket and different components, for the buckets that have several."""
-        home = labels.select(F.col("node").alias("cid"), F.col("label.id").alias("home"))
-        placed = tables.join(pivots.select("key"), "key", "left_semi").join(home, "cid", "left").withColumn("home", F.coalesce("home", "cid"))
-        mixed = placed.groupBy("key").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).filter("lo < hi").select("key")
-        placed = cut(placed.join(mixed, "key", "left_semi"))
-        a = placed.select("key", F.col("cid").alias("u"), F.col("n").alias("n_u"), F.col("home").alias("h_u"), F.col("rep").alias("r_u"))
-        b = placed.select("key", F.col("cid").alias("v"), F.col("n").alias("n_v"), F.col("home").alias("h_v"), F.col("rep").alias("r_v"))
-        meet = a.join(b, "key").filter(
-            (F.col("h_u") != F.col("h_v")) & (F.struct("r_u", "u") < F.struct("r_v", "v"))
-            & (100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        )
-        return meet.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti")
-
-    for pairs in (lambda: first, lambda: across(stars.select("u", "v")), rest):
-        pairs = cut(pairs())
-        if pairs.isEmpty():
-            continue
-        new = cut(confirmed(pairs))
-        tested = tested.union(pairs)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(nodes, links)
-
-    named = classes.select("cid", "rep").join(labels.select(F.col("node").alias("cid"), F.col("label.ord.rep").alias("low")), "cid", "left")
-    named = named.select(F.col("cid").alias("c2"), F.coalesce("low", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "cid").join(named, F.col("cid") == F.col("c2"), "left")
+    # texts of the classes that meet another one, read once for all comparisons. The hints keep these joins the same at
+    # every size: all their sides grow with the corpus
+    active = stars.select("u").union(stars.select("v")).distinct().select(F.col("u").alias("c"))
+    if plain:
+        texts = docs.withColumnRenamed("doc_id", "c").join(active.hint("merge"), "c", "left_semi").filter(F.col("text").isNotNull())
+        twice = sketched.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count()
+        texts = cut(texts.dropDuplicates(["c"]) if twice else texts)
+    else:
+
+        def own_class(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Only rows whose text has the class' set: an id can have other texts too."""
+            own = _WordHashes()
+            for batch in batches:
+                keep = [xxhash.xxh3_128_digest(shingle_hashes(t, words, own).tobytes()) == bytes(c) for t, c in zip(batch["text"], batch["c"], strict=True)]
+                yield batch.loc[np.array(keep, bool), ["c", "text"]]
+
+        wanted = classes.join(active, "c", "left_semi").select("c", "rep")
+        texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
+        texts = cut(texts.mapInPandas(own_class, f"c {c_kind}, text string").dropDuplicates(["c"]))
+
+    nodes = classes.select(F.col("c").alias("node"), F.struct(F.col("rep").isNull().alias("none"), "rep").alias("ord"))
+    first = stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
+    joined = first.hint("merge").join(texts.select(F.col("c").alias("v"), F.col("text").alias("text_v")), "v")
+    joined = joined.hint("merge").join(texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")), "u")
+    links = cut(joined.select("u", "v", "text_u", "text_v").mapInPandas(_confirm(words, percent), f"u {c_kind}, v {c_kind}"))
+    labels = components(nodes, links)
+
+    # families that are still in several components
+    home = labels.select(F.col("node").alias("c"), F.col("label.id").alias("home"))
+    member = components(nodes, stars).select(F.col("node").alias("c"), F.col("label.id").alias("family"))
+    member = cut(member.join(home, "c", "left").select("family", "c", F.coalesce("home", "c").alias("home")))
+    parts = member.groupBy("family", "home").agg(F.count("*").alias("k"))
+    mixed = parts.groupBy("family").agg(F.max_by("home", F.struct("k", "home")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"), F.count("*").alias("parts"))
+    mixed = cut(mixed.filter("parts > 1").select("family", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("opens")))
+    if not mixed.isEmpty():
+        placed = member.join(mixed, "family").join(texts, "c")
+        block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "c"), F.col(n).cast("long")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        open_side = placed.filter("home <> main").select("family", "c", "home", "text", block("opens", 5).alias("x"), every("blocks").alias("y"))
+        all_side = placed.select("family", "c", "home", "text", every("opens").alias("x"), block("blocks", 7).alias("y"))
+        pairs = open_side.groupBy("family", "x", "y").cogroup(all_side.toDF("f2", "c", "home", "text", "x2", "y2").groupBy("f2", "x2", "y2"))
+        more = cut(pairs.applyInPandas(_links_between(words, percent), f"u {c_kind}, v {c_kind}"))
+        if not more.isEmpty():
+            labels = components(nodes, links.union(more))
+
+    found = labels.select(F.col("node").alias("c"), F.col("label.ord.rep").alias("low"), F.col("label.id").alias("group"))
+    named = classes.select("cid", "rep", "c").join(found, "c", "left")
+    named = named.select(F.col("cid").alias("c2"), F.coalesce("low", "rep").alias("component_id"), F.coalesce("group", "c").alias("group"))
+    out = sketched.select("doc_id", "key", "n_shingles", "cid").join(named, F.col("cid") == F.col("c2"), "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept")
+        "doc_id", "key", "n_shingles", "component_id", "group",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"),
     )
 
 
+def keep_one_of_each(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, subkeys: int = SUBKEYS, hashes: int = HASHES
+) -> DataFrame:
+    """The documents with all their columns, one of each component: the one with the smallest id, of rows with
+    the same id the one with the smallest hash. Documents without words all stay."""
+    found = cut(_classified(docs, words, percent, subkeys, hashes).select("doc_id", "key", "group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    chosen = found.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("o"))
+    stay = chosen.select(F.col("o.doc_id").alias("__id"), F.col("o.key").alias("__key"))
+    stay = stay.union(found.filter(F.col("group").isNull()).select("doc_id", "key").distinct())
+    key = fresh(docs, "text_key")
+    kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key")), "left_semi")
+    twice = found.filter(F.col("group").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count()
+    if twice:  # repeated rows
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.drop(key)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
