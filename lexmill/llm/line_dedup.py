@@ -34,22 +34,33 @@ LONG = 50
 BROADCAST_ROWS = 1_000_000
 
 
-def _masked(line: Column) -> Column:
-    one_space = F.regexp_replace(F.regexp_replace(line, SPACE_RUN, " "), "^ | $", "")
-    return F.regexp_replace(one_space, "[^ ]*[0-9][^ ]*", "<*>")
-
+def _spaced(line: Column) -> Column:
+    """Single spaces between tokens, none at the ends. Most lines are so already, which plain searches tell."""
+    odd = line.startswith(" ") | line.endswith(" ") | line.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.when(odd, F.regexp_replace(F.regexp_replace(line, SPACE_RUN, " "), "^ | $", "")).otherwise(line)
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, pos, n, line (masked): lines of enough words. The outer form of posexplode keeps the optimizer
-    from splitting the text a second time for a filter."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "raw"))
-    rows = rows.select("doc_id", "key", "pos", _masked(F.col("raw")).alias("line"))
-    rows = rows.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1))
-    return rows.filter(F.col("n") >= MIN_WORDS)
 
-
-def _leaf() -> Column:
-    return F.xxhash64("n", F.substring_index("line", " ", DEPTH))
+def _masked(line: Column) -> Column:
+    """Tokens with a digit become <*>. The look-behind tries a token once, not at each of its characters."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*[0-9][^ ]*", "<*>")).otherwise(line)
+
+
+def _lines(docs: DataFrame, texts: bool = False) -> DataFrame:
+    """doc_id, key, pos, n, leaf, th (and line, masked): lines of enough words. Steps are nested transforms, each of
+    which computes its part once per line; the outer form of explode keeps the optimizer from inferring a filter that
+    would compute them all again."""
+    found = F.transform(F.transform(F.split("text", "\n", -1), _spaced), _masked)
+    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    sized = F.transform(found, lambda x, i: F.struct(i.alias("pos"), F.when(x == "", 0).otherwise(spaces(x) + 1).alias("n"), x.alias("line")))
+    long = F.filter(sized, lambda s: s["n"] >= MIN_WORDS)
+    fields = lambda s: [
+        s["pos"].alias("pos"), s["n"].alias("n"), F.xxhash64(s["n"], F.substring_index(s["line"], " ", DEPTH)).alias("leaf"),
+        F.xxhash64(s["line"]).alias("th"), *([s["line"].alias("line")] if texts else []),
+    ]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode_outer(F.transform(long, lambda s: F.struct(*fields(s)))).alias("l"))
+    return rows.select("doc_id", "key", "l.*").filter(F.col("n").isNotNull())
 
 
 def _leaf_members(docs: DataFrame, lines: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -64,8 +75,8 @@ def _leaf_members(docs: DataFrame, lines: DataFrame, broadcast_rows: int) -> Dat
     leaves = cut(leaves)
     if leaves.count() <= broadcast_rows:
         leaves = F.broadcast(leaves)
-    texts = _lines(docs).filter(F.col("n") >= MIN_TREE_WORDS).withColumn("leaf", _leaf()).join(leaves, "leaf", "left_semi")
-    texts = texts.groupBy("leaf", F.xxhash64("line").alias("th")).agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    texts = _lines(docs, texts=True).filter(F.col("n") >= MIN_TREE_WORDS).join(leaves, "leaf", "left_semi")
+    texts = texts.groupBy("leaf", "th").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     tokens = cut(texts.select("leaf", "th", "n", F.posexplode_outer(F.split("line", " ", -1)).alias("at", "token")))
     total = tokens.filter("at = 0").groupBy("leaf").agg(F.count("*").alias("total"))
     constant = (
@@ -85,7 +96,7 @@ def _leaf_members(docs: DataFrame, lines: DataFrame, broadcast_rows: int) -> Dat
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, key, drop (array of line positions): the documents that lose lines."""
     docs = pick(docs, doc_id="doc_id", text="text")
-    lines = cut(_lines(docs).select("doc_id", "key", "pos", "n", _leaf().alias("leaf"), F.xxhash64("line").alias("th")).distinct())
+    lines = cut(_lines(docs).distinct())
     members = cut(_leaf_members(docs, lines, broadcast_rows))
     placed = lines.join(members.withColumn("tree", F.lit(True)), ["leaf", "th"], "left").select(
         "doc_id", "key", "pos", "n", F.when(F.col("tree"), F.struct(F.lit(1).alias("kind"), F.col("leaf").alias("id"))).otherwise(F.struct(F.lit(0).alias("kind"), F.col("th").alias("id"))).alias("g")
