@@ -1,0 +1,175 @@
+"""Trained operators (held-out accuracy), mixing, secrets, edge cases of all queries, and the pipeline."""
+
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.corpus import corpus, edges, frame, tables
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_language_id_held_out(spark):
+    from lexmill.llm import language_id as L
+
+    found = L.query(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = found.collect()
+    out = [r for r in rows if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+    assert sum(r["lang_pred"] == r["lang"] for r in out) / len(out) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_language_gradients_match_differences():
+    import numpy as np
+
+    from lexmill.llm.language_id import BiGru
+
+    net, rng = BiGru(["a", "b", "c"], hidden=3, seed=1), np.random.default_rng(0)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x, y, weight = rng.integers(1, 9, (6, 4)), np.array([0, 1, 2, 1]), np.ones((6, 4))
+    _, grads = net.gradients(x, y, weight)
+    for name in ("wf", "uf", "bf", "wb", "ub", "bb", "o", "ob"):
+        at = np.unravel_index(np.abs(grads[name]).argmax(), grads[name].shape)
+        eps, old = 1e-2, net.p[name][at]
+        net.p[name][at] = old + eps
+        up, _ = net.gradients(x, y, weight)
+        net.p[name][at] = old - eps
+        down, _ = net.gradients(x, y, weight)
+        net.p[name][at] = old
+        assert abs((up - down) / (2 * eps) - grads[name][at]) < 2e-3, name
+
+
+def test_language_segments_cover_all_bytes():
+    import numpy as np
+
+    from lexmill.llm.language_id import BiGru, cuts, pooled
+
+    lengths = np.array([0, 1, 128, 129, 1000])
+    owner, offset, size = cuts(lengths)
+    assert np.bincount(owner, size, 5).tolist() == lengths.tolist() and (offset % 128 == 0).all()
+    p = pooled(BiGru(["a", "b"]), np.arange(1258, dtype=np.uint8), np.array([0, 0, 1, 129, 258]), lengths)
+    assert np.allclose(p[1:].sum(axis=1), 1, atol=1e-5) and (p[0] == 0).all()
+
+
+def test_quality_classifier_held_out(spark):
+    from lexmill.llm import quality_classifier as Q
+
+    found = Q.query(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
+    out = [r for r in found if r["held_out"]]
+    assert sum((r["predicted"] == 1) == (r["quality"] == 1) for r in out) / len(out) > 0.85
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+
+
+def test_secret_forest_held_out(spark):
+    from lexmill.llm import secret_scan as S
+
+    train, test = S.labelled_findings(spark).randomSplit([0.7, 0.3], 1)
+    right = (F.col("score") >= 0.5).cast("int") == F.col("label")
+    assert S.scored(test, S.train(train)).agg(F.avg(right.cast("int"))).first()[0] > 0.97
+
+
+def test_secret_scan_on_texts(spark):
+    from lexmill.llm import secret_scan as S
+
+    rows = [
+        (1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "en", "s", 1), (2, "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "en", "s", 1),
+        (3, "plain words and a verylongwordwithoutdigits only", "en", "s", 1), (4, "uuid: 123e4567-e89b-12d3-a456-426614174000", "en", "s", 1),
+        (5, None, "en", None, 1),
+    ]
+    found = {r["doc_id"]: r for r in S.secret_scan(frame(spark, rows, clash=True)).collect()}
+    assert found[1]["n_secrets"] == 1 and found[1]["secrets"][0]["value"].startswith("24be")
+    assert [found[i]["n_secrets"] for i in (2, 3, 4, 5)] == [0, 0, 0, 0] and [found[i]["n_candidates"] for i in (2, 3, 4, 5)] == [1, 0, 1, 0]
+
+
+def brute_targets(sizes, weights=(3, 1, 2), total=1.5, most=2):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, target, free = total * sum(sizes.values()), {}, set(names)
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = {s for s in free if level * w[s] > most * sizes[s]}
+        if not full:
+            target |= {s: level * w[s] for s in free}
+            break
+        target |= {s: most * sizes[s] for s in full}
+        left -= sum(most * sizes[s] for s in full)
+        free -= full
+    return target
+
+
+def test_mixing_targets_and_takes(spark):
+    from lexmill.llm import mixing
+
+    rows = corpus(n=90) + edges()
+    rows = [(r[0], r[1], r[2], "tiny" if i % 31 == 0 else r[3], r[4]) for i, r in enumerate(rows)]
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").encode().split())
+    want = brute_targets(sizes)
+    found = mixing.mixed(frame(spark, rows, clash=True)).collect()
+    again = mixing.mixed(frame(spark, rows, clash=True)).collect()
+    assert sorted(map(repr, found)) == sorted(map(repr, again)) and len(found) == len(rows)
+    for source, target in want.items():
+        own = [r for r in found if r["source"] == source]
+        assert own[0]["source_size"] == sizes[source] and abs(own[0]["target"] - target) < 1e-6 * max(1, target)
+        taken = sum(r["size"] * r["copies"] for r in own)
+        assert abs(taken - target) <= max(0.02 * target, max(r["size"] for r in own) / 2)
+    assert all(0 <= r["copies"] <= 2 for r in found)
+    mix = mixing.mix_documents(frame(spark, corpus(n=90), clash=True))
+    plan = mixing.mixed(frame(spark, corpus(n=90)))
+    assert mix.count() == plan.agg(F.sum("copies")).first()[0] and mix.columns[-1] == "copy"
+
+
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+def test_edges_and_empty_tables(spark, tmp_path, name):
+    from lexmill.llm import registry
+
+    name = next(q for q in registry.queries() if q.startswith(f"{name}_"))
+    rows = edges() + corpus(n=12)
+    folder = tables(spark, tmp_path / "edges", rows, benchmark=[(1, None), (2, "one two")], labels=[(0, 1, 0), (1, 0, 0), (1, None, None), (None, 1, 0), (2, 1, 1)])
+    found = registry.queries()[name](spark, folder)
+    assert found.count() == len(rows)
+    empty = tables(spark, tmp_path / "empty", [], benchmark=[], labels=[])
+    assert registry.queries()[name](spark, empty).count() == 0
+
+
+def test_undetermined_and_unlabelled(spark):
+    from lexmill.llm.language_id import language_id
+
+    found = language_id(frame(spark, edges() + corpus(n=40)))
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert [by[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und"] * 4
+    assert by[1004]["lang_pred"] in ("en", "de", "fr")
+    nothing = language_id(frame(spark, [(1, "words", None, "s", 1)]))
+    assert nothing.first()["lang_pred"] == "und"
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs, counts = documents, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        found = stage(spark, docs, "/root/testdata/sf0.001")
+        found.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        counts.append(docs.count())
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert docs.dtypes == documents.dtypes, name
+    assert 0 < counts[3] <= counts[2] <= counts[1] <= counts[0] <= documents.count()
+    whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, whole.select("doc_id", "copy").collect())) == sorted(map(tuple, docs.select("doc_id", "copy").collect()))
+
+
+def test_pipeline_stages_on_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    folder = tables(spark, tmp_path, edges() + corpus(n=30), benchmark=[(1, corpus(n=30)[0][1])])
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).count()
+    empty = tables(spark, tmp_path / "none", [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty).count() == 0
