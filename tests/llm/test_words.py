@@ -208,8 +208,8 @@ def test_line_dedup_drops_recurring_lines(spark, rows, tmp_path):
 
     passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
     own = [(i, f"own line of document {chr(97 + i)} alone\n{passage}\nlast {chr(97 + i)} words of it", "en", "s", 1) for i in range(2)]
-    logs = [(10 + i, f"user {name} logged in from host {i} at noon today\n{name} wrote of {name * 3} and {name[::-1]}", "en", "s", 1) for i, name in enumerate(["ann", "bob", "cyd", "dan"])]
-    short = [(30 + i, f"ok then\nthis one is document {chr(97 + i)}{chr(105 - i)} only", "en", "s", 1) for i in range(4)]
+    logs = [(10 + i, f"user logged in as {name} from host {i} at noon today\n{name} wrote of {name * 3} and {name[::-1]}", "en", "s", 1) for i, name in enumerate(["ann", "bob", "cyd", "dan"])]
+    short = [(30 + i, f"ok then\n{chr(97 + i) * 3} {chr(98 + i) * 4} {chr(99 + i) * 5} {chr(100 + i) * 6}", "en", "s", 1) for i in range(4)]
     found = {r["doc_id"]: r for r in line_dedup(frame(spark, own + logs + short, clash=True)).collect()}
     assert passage in found[0]["text"] and passage not in found[1]["text"] and "own line of document b alone" in found[1]["text"]
     assert found[10]["n_dropped"] == 0 and all(found[i]["text"] == f"{n} wrote of {n * 3} and {n[::-1]}" for i, n in ((11, "bob"), (12, "cyd"), (13, "dan")))
