@@ -391,10 +391,10 @@ GRID = rank.grid({"l_discount": [0.0, 1.0, 2.0], "l_tax": [0.0, 1.0]})
 @query("weight_grid", f"""
 SELECT w, round(avg(y), 6) AS mean FROM (
   SELECT w, l_orderkey, arg_max(l_quantity, (s, -o)) AS y FROM (
-    SELECT w, l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS o, l_quantity, l_discount * a + l_tax * b AS s FROM lineitem, {Q.values([(i, g['l_discount'], g['l_tax']) for i, g in enumerate(GRID)], 'w, a, b')}) GROUP BY w, l_orderkey) GROUP BY w""")
+    SELECT w, l_orderkey, l_linenumber::BIGINT * 10000000000000 + l_partkey * 10000000 + l_suppkey * 100 + l_quantity::BIGINT AS o, l_quantity, l_discount * a + l_tax * b AS s FROM lineitem, {Q.values([(i, g['l_discount'], g['l_tax']) for i, g in enumerate(GRID)], 'w, a, b')}) GROUP BY w, l_orderkey) GROUP BY w""")
 def weight_grid(spark: Session, sf: str) -> DataFrame:
     """The mean target of what each weight vector picks, in one pass over the candidates."""
-    li = table(spark, sf, "lineitem").withColumn("o", F.col("l_linenumber") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey"))
+    li = table(spark, sf, "lineitem").withColumn("o", F.col("l_linenumber").cast("long") * 10000000000000 + F.col("l_partkey") * 10000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long"))
     found = rank.grid_scores(li, "l_orderkey", "o", ["l_discount", "l_tax"], "l_quantity", GRID)
     return found.select("w", F.round("mean", 6).alias("mean"))
 
