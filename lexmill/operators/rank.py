@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import scalar as S
-from lexmill.operators.corpus import sentence_bleu
 
 
 def rank01(x: str, by: str, higher_better: bool = True, flat: float = 0.5) -> Column:
@@ -42,9 +41,9 @@ def minimum_risk(pools: DataFrame, sharpness: float = 1.5) -> DataFrame:
     best = pools.groupBy("sent_id", "hyp").agg(F.max("gen").alias("gen"), F.min("place").alias("place"))
     w = Window.partitionBy("sent_id")
     best = best.withColumn("e", F.exp((F.col("gen") - F.max("gen").over(w)) * sharpness)).withColumn("p", F.col("e") / F.sum("e").over(w))
-    best = best.withColumn("t", F.filter(F.split(F.lower("hyp"), r"\s+"), lambda x: x != ""))
-    other = best.select("sent_id", F.col("t").alias("t2"), F.col("p").alias("p2"))
-    risk = best.join(other, "sent_id").groupBy("sent_id", "hyp", "place", "p").agg(F.sum(F.col("p2") * sentence_bleu(F.col("t"), F.col("t2"))).alias("u"))
+    other = best.select("sent_id", F.col("hyp").alias("hyp2"), F.col("p").alias("p2"))
+    met = best.join(other, "sent_id").withColumn("bleu", sentence_bleu_udf()("hyp", "hyp2"))
+    risk = met.groupBy("sent_id", "hyp", "place", "p").agg(F.sum(F.col("p2") * F.col("bleu")).alias("u"))
     return pick(risk, "sent_id", F.col("u") + 0.01 * F.col("p"), "place", ["hyp"])
 
 

@@ -61,11 +61,14 @@ def greek_light_fold(spark: Session, sf: str) -> DataFrame:
     return rows.withColumn("latin", T.greek_to_latin(F.col("folded")))
 
 
-@query("html_slug_projection", f"SELECT page_id, {Q.slug('url')} AS slug, left({Q.slug('regexp_replace(html, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, 80) AS body FROM pages")
+SQL_BARE = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
+
+
+@query("html_slug_projection", f"SELECT page_id, {Q.slug('url')} AS slug, {Q.slug(SQL_BARE)} AS body FROM pages")
 def html_slug_projection(spark: Session, sf: str) -> DataFrame:
     """F4, F5 on pages."""
     p = table(spark, sf, "pages")
-    return p.select("page_id", T.slug(F.col("url")).alias("slug"), F.left(T.slug(F.regexp_replace("html", "<[^>]*>", " ")), F.lit(80)).alias("body"))
+    return p.select("page_id", T.slug(F.col("url")).alias("slug"), T.slug(F.regexp_replace("html", "<[^>]*>", " ")).alias("body"))
 
 
 HEADS = [("1. (of water) clear; pure",), ("a) the [[hand]] of a king",), ("{{lb}} to walk | run",), ("x",), ("  a great house,",), ("2) 12 34",)]
@@ -194,10 +197,10 @@ def fluency_scores(spark: Session, sf: str) -> DataFrame:
 SELECT id, c AS clause FROM (
   SELECT id, unnest(list_filter(CASE WHEN length(p) > 24 AND contains(p, ',') THEN list_transform(string_split(p, ','), lambda x: trim(x)) ELSE [p] END, lambda x: x <> '')) AS c
   FROM (SELECT id, unnest(list_filter(list_transform(string_split_regex(trim(t), '[;|/]|\s+[-—]\s+'), lambda x: trim(x)), lambda x: x <> '')) AS p
-        FROM (SELECT doc_id AS id, left(text, 300) AS t FROM documents)))""")
+        FROM (SELECT doc_id AS id, text AS t FROM documents)))""")
 def clause_split(spark: Session, sf: str) -> DataFrame:
-    """clauses of a definition; the first 300 characters stand for a definition field."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(T.clauses(F.left("text", F.lit(300)))).alias("clause"))
+    """clauses of a text."""
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(T.clauses(F.col("text"))).alias("clause"))
 
 
 @query("display_text", "SELECT conv_id, turn, CASE WHEN length(t) > 160 THEN left(t, 159) || '…' ELSE t END AS shown FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^(flowing_|fluid_)', ''), '\\s+', ' ', 'g')) AS t FROM conversations)")
@@ -207,11 +210,11 @@ def display_text(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.length(t) > 160, F.concat(F.left(t, F.lit(159)), F.lit("…"))).otherwise(t).alias("shown"))
 
 
-@query("narrative_render", "SELECT l_orderkey, '[S=' || printf('%.2e', sum(l_quantity)) || '] ' || string_agg(l_returnflag || l_linestatus, ' -> ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS story FROM lineitem WHERE l_orderkey % 20 = 1 GROUP BY l_orderkey")
+@query("narrative_render", "SELECT l_orderkey, '[S=' || printf('%.2e', sum(l_quantity)) || '] ' || string_agg(l_returnflag || l_linestatus, ' -> ' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS story FROM lineitem GROUP BY l_orderkey")
 def narrative_render(spark: Session, sf: str) -> DataFrame:
     """a joined text with a scalar in scientific notation."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("x")))), lambda s: s["x"])
-    return table(spark, sf, "lineitem").filter("l_orderkey % 20 = 1").groupBy("l_orderkey").agg(F.concat(F.lit("[S="), F.format_string("%.2e", F.sum("l_quantity")), F.lit("] "), F.array_join(parts, " -> ")).alias("story"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("[S="), F.format_string("%.2e", F.sum("l_quantity")), F.lit("] "), F.array_join(parts, " -> ")).alias("story"))
 
 
 @query("surface_features", f"""
@@ -319,7 +322,7 @@ def scalar_steps(spark: Session, sf: str) -> DataFrame:
 
 def seed_pools(spark: Session, sf: str) -> DataFrame:
     """Candidate pools with features, made from order lines."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 10 = 1").select(
+    li = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("sent_id"), F.col("l_linenumber").alias("place"), (F.col("l_discount") * 10 + 1).alias("enc_norm"), F.col("l_tax").alias("nll"),
         F.col("l_quantity").alias("gen"), (F.col("l_discount") * 9).alias("spm_ent_norm"), (F.col("l_tax") * 50 + 1).alias("spm_mean_len"),
         (F.col("l_tax") / 2).alias("spm_unk_frac"), (F.col("l_quantity") / 2).alias("spm_n_pieces"), F.col("l_linenumber").alias("hyp_len"), F.lit(4).alias("src_len"),

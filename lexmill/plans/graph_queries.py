@@ -264,8 +264,8 @@ def memo_cache(spark: Session, sf: str) -> DataFrame:
     return lookup.cascade(toks, [("exact", store(spark, sf), F.col("token"), 1.0)]).filter("stage = 'exact'").select("token", "meaning")
 
 
-@query("memory_recall", "SELECT doc_id AS ord, left(text, 60) AS value FROM documents WHERE contains(lower(left(text, 60)), 'tion') ORDER BY doc_id LIMIT 3")
+@query("memory_recall", "SELECT ord, value FROM (SELECT doc_id * 1000000 + i - 1 AS ord, ls[i] AS value FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))) WHERE contains(lower(value), 'tion') ORDER BY ord LIMIT 3")
 def memory_recall(spark: Session, sf: str) -> DataFrame:
-    """The first three entries that contain a text; entries are the heads of documents."""
-    lines = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.left("text", F.lit(60)).alias("value"))
+    """The first three lines that contain a text."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "value")).select((F.col("doc_id") * 1000000 + F.col("i")).alias("ord"), "value")
     return retrieve.recall(lines, "tion")

@@ -144,7 +144,7 @@ def prefix_peel_join(spark: Session, sf: str) -> DataFrame:
 
 
 @query("parallel_pairs_guarded", f"""
-WITH s AS (SELECT conv_id * 1000 + turn AS id, role AS lang, text FROM conversations), l AS (SELECT conv_id * 1000 + turn AS a, conv_id * 1000 + turn + 1 AS b FROM conversations), h AS (SELECT id FROM s WHERE id % 7 = 0),
+WITH s AS (SELECT conv_id * 1000 + turn AS id, role AS lang, text FROM conversations), l AS (SELECT conv_id * 1000 + turn AS a, conv_id * 1000 + turn + 1 AS b FROM conversations), h AS (SELECT item_id AS id FROM benchmark),
 bo AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l)
 SELECT x AS src_id, y AS ref_id FROM bo JOIN s p ON p.id = x JOIN s q ON q.id = y WHERE p.lang <> 'assistant' AND q.lang = 'assistant' AND x NOT IN (SELECT id FROM h) AND y NOT IN (SELECT id FROM h)
 AND len({Q.tokens('p.text')}) BETWEEN 2 AND 40 AND len({Q.tokens('q.text')}) BETWEEN 2 AND 40""")
@@ -153,19 +153,19 @@ def parallel_pairs_guarded(spark: Session, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     s = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("lang"), "text")
     links = s.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return corpus.parallel_pairs(s, links, "assistant", s.filter("id % 7 = 0").select("id")).select("src_id", "ref_id")
+    return corpus.parallel_pairs(s, links, "assistant", table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))).select("src_id", "ref_id")
 
 
 @query("donor_search", """
-WITH own AS (SELECT DISTINCT l_suppkey % 40 AS o, l_partkey % 100 AS c FROM lineitem WHERE l_orderkey % 50 = 1),
+WITH own AS (SELECT DISTINCT s_nationkey AS o, l_partkey AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 sh AS (SELECT a.o AS o, b.o AS d, count(*) AS shared FROM own a JOIN own b USING (c) WHERE a.o <> b.o GROUP BY ALL HAVING count(*) >= 3),
 off AS (SELECT sh.o, own.c, sh.d, sh.shared FROM sh JOIN own ON own.o = sh.d WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.o = sh.o AND x.c = own.c)),
 r AS (SELECT o, c, d, shared, row_number() OVER (PARTITION BY o, c ORDER BY shared DESC, d) - 1 AS place FROM off)
 SELECT o AS owner, c AS concept, place, d AS donor, shared FROM r WHERE place < 3""")
 def donor_search(spark: Session, sf: str) -> DataFrame:
-    """J14."""
-    own = table(spark, sf, "lineitem").filter("l_orderkey % 50 = 1").select((F.col("l_suppkey") % 40).alias("owner"), (F.col("l_partkey") % 100).alias("concept"))
-    return graph.donors(own)
+    """Parts that a nation's suppliers lack, and the nations most like it that have them."""
+    own = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return graph.donors(own.select(F.col("s_nationkey").alias("owner"), F.col("l_partkey").alias("concept")))
 
 
 @query("hub_pair_counts", "SELECT a.s AS a, b.s AS b, count(*) AS n FROM (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) a JOIN (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) b ON a.p = b.p AND a.s < b.s GROUP BY ALL")
@@ -196,15 +196,16 @@ def disagreement_join(spark: Session, sf: str) -> DataFrame:
 
 
 @query("ledger_inverted_search", f"""
-WITH c AS (SELECT doc_id AS id, lang AS domain, text FROM documents), q AS (SELECT item_id AS query, 'fr' AS domain, left(text, 40) AS text FROM benchmark WHERE item_id < 10),
+WITH c AS (SELECT doc_id AS id, lang AS domain, text FROM documents), q AS (SELECT item_id AS query, 'fr' AS domain, text FROM benchmark WHERE item_id % 50 = 0),
 qt AS (SELECT DISTINCT query, unnest({Q.words('text', '[a-z]{3,}')}) AS token FROM q), p AS (SELECT id, unnest({Q.words('text', '[a-z]{3,}')}) AS token FROM c),
 h AS (SELECT query, id, count(*)::DOUBLE AS s FROM p JOIN qt USING (token) GROUP BY ALL UNION ALL SELECT query, id, 1.5 FROM c JOIN q USING (domain)),
 t AS (SELECT query, id, sum(s) AS score FROM h GROUP BY ALL)
 SELECT query, place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS place FROM t) WHERE place < 8""")
 def ledger_inverted_search(spark: Session, sf: str) -> DataFrame:
-    """Postings joined with query tokens; the eight best of each query."""
+    """Postings joined with query tokens; the eight best of each query. The stated query set is every item whose id
+    divides by 50, against all documents."""
     claims = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain"), "text")
-    queries = table(spark, sf, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query"), F.lit("fr").alias("domain"), F.left("text", F.lit(40)).alias("text"))
+    queries = table(spark, sf, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query"), F.lit("fr").alias("domain"), "text")
     return retrieve.search(claims, queries)
 
 
@@ -271,7 +272,7 @@ def gazetteer_cascade(spark: Session, sf: str) -> DataFrame:
 def mbr_pick(spark: Session, sf: str) -> DataFrame:
     """Minimum Bayes risk inside each conversation's pool of turns."""
     c = table(spark, sf, "conversations")
-    pools = c.select(F.col("conv_id").alias("sent_id"), F.col("turn").alias("place"), F.left("text", F.lit(80)).alias("hyp"), (-F.col("turn") / 4.0).alias("gen"))
+    pools = c.select(F.col("conv_id").alias("sent_id"), F.col("turn").alias("place"), F.col("text").alias("hyp"), (-F.col("turn") / 4.0).alias("gen"))
     return rank.minimum_risk(pools)
 
 
@@ -398,7 +399,7 @@ def cooccurrence_top1(spark: Session, sf: str) -> DataFrame:
 @query("bigram_alignment_top1")
 def bigram_alignment_top1(spark: Session, sf: str) -> DataFrame:
     """Bigrams in two passes, independent of the corpus' order."""
-    t = _turns(spark, sf).select(F.left("hyp", F.lit(120)).alias("src"), F.left("ref", F.lit(120)).alias("ref"))
+    t = _turns(spark, sf).select(F.col("hyp").alias("src"), "ref")
     best = corpus.bigram_alignment(t, corpus.cooccurrence(t))
     return best.groupBy("s").agg(F.min_by(F.struct("t", "c"), F.struct(-F.col("c"), "t")).alias("r")).select("s", "r.*").filter("c >= 2")
 

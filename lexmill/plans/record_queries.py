@@ -78,10 +78,10 @@ def nested_senses(spark: Session, sf: str) -> DataFrame:
     return nested.select("word", F.explode(F.array_distinct("glosses")).alias("gloss")).groupBy("word").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-@query("pool_scan", "SELECT l_orderkey AS sent_id, l_linenumber - 1 AS place, l_extendedprice AS score FROM lineitem WHERE l_orderkey % 10 = 1")
+@query("pool_scan", "SELECT l_orderkey AS sent_id, l_linenumber - 1 AS place, l_extendedprice AS score FROM lineitem")
 def pool_scan(spark: Session, sf: str) -> DataFrame:
     """Parallel arrays of hypotheses and scores to one row each."""
-    li = table(spark, sf, "lineitem").filter("l_orderkey % 10 = 1")
+    li = table(spark, sf, "lineitem")
     rows = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice"))).alias("z"))
     each = rows.select(F.col("l_orderkey").alias("sent_id"), F.explode(F.arrays_zip(F.col("z.l_linenumber").alias("h"), F.col("z.l_extendedprice").alias("s"))).alias("x"))
     return each.select("sent_id", (F.col("x.h") - 1).alias("place"), F.col("x.s").alias("score"))
@@ -99,8 +99,8 @@ def append_log_replay(spark: Session, sf: str) -> DataFrame:
     """Two appends to a log of JSON lines, replayed."""
     path = shared_path(spark, "log")
     c = table(spark, sf, "conversations")
-    sinks.append_log(c.filter("turn % 2 = 0"), path)
-    sinks.append_log(c.filter("turn % 2 = 1 OR turn IS NULL"), path)
+    sinks.append_log(c.filter("role = 'user'"), path)
+    sinks.append_log(c.filter("role <> 'user' OR role IS NULL"), path)
     return sinks.replay_log(spark, path, "conv_id long, turn long, role string, text string").groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
@@ -149,13 +149,13 @@ def source_profile(spark: Session, sf: str) -> DataFrame:
 @query("gold_records", f"""
 SELECT lang, count(*) AS n, sum(is_name::INT)::BIGINT AS names FROM (
   SELECT CASE lower(trim(lang)) WHEN 'lat' THEN 'la' WHEN 'eng' THEN 'en' ELSE lower(trim(lang)) END AS lang, trim(word) AS word, {Q.slug('gloss')} AS key,
-         regexp_matches(gloss, '^(river|city|name) ') AS is_name
-  FROM (SELECT lang, unnest(string_split(text, ' ')[1:20]) AS word, left(text, 30) AS gloss FROM documents))
+         regexp_matches(gloss, '^[A-Z]') AS is_name
+  FROM (SELECT lang, word, word AS gloss FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents)))
 WHERE word <> '' AND length(word) <= 80 AND key NOT IN ('', 'unknown', '?', 'null', 'none') AND length(lang) <= 4 GROUP BY lang""")
 def gold_records(spark: Session, sf: str) -> DataFrame:
     """Canonical records: normalised codes, trimmed words, rejected blanks and over-long forms."""
-    raw = table(spark, sf, "documents").select("lang", F.explode(F.slice(F.split("text", " "), 1, 20)).alias("word"), F.left("text", F.lit(30)).alias("gloss"))
-    rec = raw.select(readers.language_code(F.col("lang")).alias("lang"), readers.first_filled(F.col("word")).alias("word"), T.slug(F.col("gloss")).alias("key"), F.col("gloss").rlike("^(river|city|name) ").alias("is_name"))
+    raw = table(spark, sf, "documents").select("lang", F.explode(F.split("text", " ")).alias("word"))
+    rec = raw.select(readers.language_code(F.col("lang")).alias("lang"), readers.first_filled(F.col("word")).alias("word"), T.slug(F.col("word")).alias("key"), F.col("word").rlike("^[A-Z]").alias("is_name"))
     good = rec.filter(F.col("word").isNotNull() & (F.length("word") <= 80) & ~F.col("key").isin("", "unknown", "?", "null", "none") & (F.length("lang") <= 4))
     return good.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.col("is_name").cast("long")).alias("names"))
 
@@ -247,10 +247,10 @@ SELECT class, count(*) AS n FROM (
               WHEN length(regexp_replace(p, '[^a-z]', '', 'g')) >= 4 AND len(regexp_extract_all(p, '[aeiouy]')) < 0.15 * length(regexp_replace(p, '[^a-z]', '', 'g')) AND contains(p, '_') THEN 'garbage_translit'
               WHEN length(p) > 80 OR len(regexp_extract_all(p, ' ')) > 12 THEN 'wiki_dump_long'
               WHEN regexp_matches(w, '(ensis|anus)$') THEN 'ethnonym_missense' WHEN n_chars > 2000 THEN 'exact_wrong_sense' ELSE 'near_miss_or_other' END AS class
-  FROM (SELECT lower(string_split(text, chr(10))[1]) AS p, lower(string_split(text, ' ')[1]) AS w, n_chars FROM documents)) GROUP BY class""")
+  FROM (SELECT lower(text) AS p, lower(text) AS w, n_chars FROM documents)) GROUP BY class""")
 def miss_classes(spark: Session, sf: str) -> DataFrame:
     """Ordered rules give each miss one class."""
-    d = table(spark, sf, "documents").select(F.lower(F.split("text", "\n")[0]).alias("p"), F.lower(F.split("text", " ")[0]).alias("w"), "n_chars")
+    d = table(spark, sf, "documents").select(F.lower("text").alias("p"), F.lower("text").alias("w"), "n_chars")
     flat = F.length(F.regexp_replace("p", "[^a-z]", ""))
     cls = (
         F.when(F.trim("p") == "", "fallback_empty").when(F.col("p").rlike("^(nominative|genitive|name_of_)"), "meta_or_name_dump")
@@ -320,11 +320,11 @@ def breadth_pick(spark: Session, sf: str) -> DataFrame:
     return n.join(rank, F.col("p_brand") == F.col("name"), "left").orderBy(F.coalesce("r", F.lit(1000)), F.desc("n"), "p_brand").limit(20).select("p_brand", "n")
 
 
-@query("claim_records", "SELECT sha256(conv_id::VARCHAR || '|' || turn::VARCHAR || '|' || role) AS id, role || ' said: ' || left(text, 40) AS claim_text, [role, 'turn' || turn::VARCHAR] AS tags FROM conversations")
+@query("claim_records", "SELECT sha256(conv_id::VARCHAR || '|' || turn::VARCHAR || '|' || role) AS id, role || ' said: ' || text AS claim_text, [role, 'turn' || turn::VARCHAR] AS tags FROM conversations")
 def claim_records(spark: Session, sf: str) -> DataFrame:
     """Claims with ids that depend on their content, so reruns agree."""
     key = F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role")
     return table(spark, sf, "conversations").select(
-        F.sha2(key, 256).alias("id"), F.concat("role", F.lit(" said: "), F.left("text", F.lit(40))).alias("claim_text"),
+        F.sha2(key, 256).alias("id"), F.concat("role", F.lit(" said: "), "text").alias("claim_text"),
         F.array("role", F.concat(F.lit("turn"), F.col("turn").cast("string"))).alias("tags"),
     )
