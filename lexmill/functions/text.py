@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens of letters, digits, apostrophe, hyphen and underscore; the same in both regular-expression dialects.
@@ -153,3 +153,11 @@ def ngrams_of(array: Column, n: int, sep: str = " ") -> Column:
     """Word n-grams joined by sep."""
     at = F.sequence(F.lit(1), F.size(array) - (n - 1))
     return F.when(F.size(array) >= n, F.transform(at, lambda i: F.array_join(F.slice(array, i, n), sep))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def explode_ngrams(df: DataFrame, keep: list[str], array: Column, n: int, name: str = "g") -> DataFrame:
+    """One row per n-gram of an array expression. The array is a column of its own before the lambda sees it, else it would
+    be computed for every element; and the outer explode keeps the optimizer from inferring a filter that would put it
+    back there."""
+    own = df.select(*keep, array.alias("__words"))
+    return own.select(*keep, F.explode_outer(ngrams_of(F.col("__words"), n)).alias(name)).filter(F.col(name).isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.session import cut
 
 
 def parallel_pairs(sentences: DataFrame, links: DataFrame, target: str, held_out: DataFrame, least: int = 2, most: int = 40, cap: int | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def bigram_alignment(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def ngram_counts(df: DataFrame, key: str, column: str, n: int, name: str) -> DataFrame:
-    return df.select(key, F.explode(T.ngrams_of(T.tokens(F.col(column)), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias(name))
+    return T.explode_ngrams(df, [key], T.tokens(F.col(column)), n).groupBy(key, "g").agg(F.count("*").alias(name))
 
 
 def overlap_sums(h: DataFrame, r: DataFrame, key: str) -> DataFrame:
@@ -79,18 +80,25 @@ def f1(sums: DataFrame) -> DataFrame:
 
 
 def bleu(pairs: DataFrame, key: str = "id", most: int = 4) -> DataFrame:
-    """Corpus BLEU with add-one counts: bleu, bp, p1..p4. pairs: key, hyp, ref."""
-    parts = None
-    for n in range(1, most + 1):
-        h, r = ngram_counts(pairs, key, "hyp", n, "h"), ngram_counts(pairs, key, "ref", n, "r")
-        sums = h.join(r, [key, "g"], "left").agg(
-            ((F.coalesce(F.sum(F.least("h", F.coalesce("r", F.lit(0)))), F.lit(0)) + 1) / (F.coalesce(F.sum("h"), F.lit(0)) + 1)).alias(f"p{n}")
-        )
-        parts = sums if parts is None else parts.join(sums)  # one row each
-    lengths = pairs.agg(F.sum(F.size(T.tokens(F.col("hyp")))).alias("hl"), F.sum(F.size(T.tokens(F.col("ref")))).alias("rl"))
+    """Corpus BLEU with add-one counts: bleu, bp, p1..p4. pairs: key, hyp, ref. Both sides are tokenised once, and the
+    n-grams of all lengths are counted and joined in one pass."""
+    own = cut(pairs.select(key, T.tokens(F.col("hyp")).alias("h"), T.tokens(F.col("ref")).alias("r")))
+
+    def counts(side: str) -> DataFrame:
+        parts = [T.explode_ngrams(own, [key], F.col(side), n).withColumn("n", F.lit(n)) for n in range(1, most + 1)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.groupBy(key, "n", "g").agg(F.count("*").alias(f"c_{side}"))
+
+    met = counts("h").join(counts("r"), [key, "n", "g"], "left")
+    match, total = F.least("c_h", F.coalesce("c_r", F.lit(0))), F.col("c_h")
+    only = lambda x, n: F.coalesce(F.sum(F.when(F.col("n") == n, x)), F.lit(0))
+    parts = met.agg(*[((only(match, n) + 1) / (only(total, n) + 1)).alias(f"p{n}") for n in range(1, most + 1)])
+    lengths = own.agg(F.sum(F.size("h")).alias("hl"), F.sum(F.size("r")).alias("rl"))
     bp = F.when(F.col("hl") > F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.greatest(F.lit(1), F.col("hl"))))
     mean = F.exp(sum(F.ln(f"p{n}") for n in range(1, most + 1)) / most)
-    return parts.join(lengths).select(F.when(F.col("hl") > 0, bp * mean).otherwise(0.0).alias("bleu"), bp.alias("bp"), *[f"p{n}" for n in range(1, most + 1)])
+    return parts.join(lengths).select(F.when(F.col("hl") > 0, bp * mean).otherwise(0.0).alias("bleu"), bp.alias("bp"), *[f"p{n}" for n in range(1, most + 1)])  # one row each
 
 
 def sentence_bleu(hyp: Column, ref: Column, most: int = 4) -> Column:

@@ -628,7 +628,7 @@ b AS (SELECT DISTINCT unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1,
 SELECT doc_id, count(*) AS shared FROM g JOIN b USING (g) GROUP BY doc_id""")
 def contamination_antijoin(spark: Session, sf: str) -> DataFrame:
     """Semi-join of n-grams between documents and an evaluation set."""
-    five = lambda t, *keep: table(spark, sf, t).select(*keep, F.explode(T.ngrams_of(T.tokens(F.col("text")), 5)).alias("g")).distinct()
+    five = lambda t, *keep: T.explode_ngrams(table(spark, sf, t), list(keep), T.tokens(F.col("text")), 5).distinct()
     return five("documents", "doc_id").join(five("benchmark"), "g", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
 
 

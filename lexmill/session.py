@@ -32,7 +32,19 @@ def local_session(name: str = "lexmill", cores: int | str = 8, partitions: int =
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the star-schema tables; only Spark's reader touches the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+#: Tables whose rows are long texts, which are costly to work on.
+TEXTS = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, its rows dealt to all cores where its scan has fewer tasks than there are cores, as with one small file.
+    A large table is left as it is: its scan has tasks enough, and a shuffle would only cost."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
