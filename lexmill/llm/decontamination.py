@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import alnum_words, pick
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -170,7 +170,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return decontamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 SQL = r"""

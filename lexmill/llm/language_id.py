@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import hash_share, pick
+from lexmill.session import table
 
 HIDDEN = 12
 SEGMENT = 128
@@ -280,4 +281,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataF
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return language_id(table(spark, sf_dir, "documents"))

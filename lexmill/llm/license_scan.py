@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import pick
+from lexmill.session import table
 
 #: Phrases and their labels, by words.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -166,5 +167,5 @@ def license_scan(docs: DataFrame, notices: tuple[tuple[str, str], ...] = NOTICES
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = license_scan(table(spark, sf_dir, "documents"))
     return found.withColumn("n_spans", F.size("spans").cast("long")).drop("spans")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import SPACE_RUN, fresh, pick
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 DEPTH = 3
 MIN_WORDS = 4
@@ -111,7 +111,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, broadcast_rows: int
         .filter((F.col("docs") >= min_docs) | ((F.col("n") >= LONG) & (F.col("docs") >= 2)))
         .select("g", "first")
     )
-    gone = placed.join(recurring, "g").filter(~where.eqNullSafe(F.col("first")))
+    # cut, so that both sides of the join are dealt alike and a template with very many lines can be split
+    gone = placed.join(cut(recurring), "g").filter(~where.eqNullSafe(F.col("first")))
     return gone.groupBy("doc_id", "key").agg(F.collect_list("pos").alias("drop"))
 
 
@@ -142,7 +143,7 @@ def drop_recurring(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 

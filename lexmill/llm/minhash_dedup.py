@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import fresh, pick
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 WORDS = 2
 PERCENT = 80
@@ -325,7 +325,7 @@ def keep_one_of_each(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""

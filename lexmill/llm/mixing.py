@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import fresh, pick, space_words
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL = 1.5
@@ -141,4 +141,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return source_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return source_mix(table(spark, sf_dir, "documents"))

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import hash_share, pick
+from lexmill.session import table
 
 BLOCK = 1024
 DICTIONARY = 128 * 1024
@@ -163,4 +164,4 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, threshold: float = TH
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return quality_classifier(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import pick, space_words
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -140,7 +140,7 @@ def filter_quality(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return quality_rules(pick(docs, doc_id="doc_id", text="text", source="source"))
 
 

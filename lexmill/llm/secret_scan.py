@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import pick
-from lexmill.session import cut
+from lexmill.session import cut, table
 
 KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,199}[0-9])[A-Za-z0-9+/_=-]{16,200}"
 HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
@@ -172,6 +172,6 @@ def secret_scan(docs: DataFrame, findings: DataFrame | None = None, threshold: f
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = secret_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = secret_scan(table(spark, sf_dir, "documents"))
     values = F.array_join(F.transform("secrets", lambda x: F.sha2(x["value"], 256)), ",")
     return found.select("doc_id", "n_candidates", "n_secrets", F.round("score", 6).alias("score"), values.alias("secrets_sha256"))

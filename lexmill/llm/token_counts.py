@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import pick
+from lexmill.session import table
 
 LIMIT = 1024
 PIECE_CHARS = 16_384
@@ -105,4 +106,4 @@ def token_counts(
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_counts(table(spark, sf_dir, "documents"))
