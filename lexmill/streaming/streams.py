@@ -75,8 +75,8 @@ def rate_limited(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, admitted boolean")
 
 
-def rate_limited_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, with state per user that expires after two hours without events."""
+def rate_limited_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The same over a stream, with state per user that expires two hours of event time after the user's last event."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -86,9 +86,10 @@ def rate_limited_stream(events: DataFrame) -> DataFrame:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         ok, now = _admit([t.timestamp() for t in rows["ts"]], now)
         state.update(now)
-        state.setTimeoutDuration(int(2 * HOUR * 1000))
+        last = max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + int(2 * HOUR * 1000))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "admitted": ok})
 
-    return events.groupBy("user_id").applyInPandasWithState(
-        run, "user_id long, event_id long, admitted boolean", "last double, hour double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, event_id long, admitted boolean", "last double, hour double, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
