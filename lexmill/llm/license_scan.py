@@ -72,28 +72,38 @@ class Scanner:
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) in the normalised text, in order and without overlaps."""
-        windows: dict[int, list[list[int]]] = {}
+        """(notice, start, end, edits) in the normalised text, in order and without overlaps.
+
+        Every hit of a part fixes where its notice would start, up to k characters; that window is verified, each
+        different window text once. Of matches that overlap, the one with the fewest edits counts, then the longest."""
+        seen: set[tuple[int, int]] = set()
+        known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
+        found = set()
         for end, (size, uses) in self.automaton.iter(text):
             for number, offset in uses:
-                pattern, _, k = self.notices[number]
+                notice, _, k = self.notices[number]
                 start = end + 1 - size - offset
-                window = [max(0, start - k), min(len(text), start + len(pattern) + k)]
-                own = windows.setdefault(number, [])
-                if own and window[0] <= own[-1][1]:  # one stretch of text is verified once
-                    own[-1][0] = min(own[-1][0], window[0])
-                    own[-1][1] = max(own[-1][1], window[1])
-                else:
-                    own.append(window)
-        found = []
-        for number, stretches in windows.items():
-            for a, b in stretches:
-                for match in self.patterns[number].finditer(text, a, b):
-                    found.append((sum(match.fuzzy_counts), match.start() - match.end(), match.start(), number))
-        best = []  # of matches that overlap, the one with the fewest edits, then the longest
+                if (number, start) in seen:
+                    continue
+                seen.add((number, start))
+                low = max(0, start - k)
+                window = text[low : max(0, start + len(notice) + k)]
+                key = (number, window)
+                if key not in known:
+                    at = window.find(notice)
+                    if at >= 0:
+                        known[key] = (at, at + len(notice), 0)
+                    else:
+                        match = self.patterns[number].search(window)
+                        known[key] = (match.start(), match.end(), sum(match.fuzzy_counts)) if match else None
+                hit = known[key]
+                if hit:
+                    found.add((hit[2], hit[0] - hit[1], low + hit[0], number))
+        taken, best = bytearray(len(text)), []
         for edits, less, start, number in sorted(found):
             end = start - less
-            if all(end <= s or e <= start for _, s, e, _ in best):
+            if taken.find(1, start, end) < 0:
+                taken[start:end] = b"\x01" * (end - start)
                 best.append((number, start, end, edits))
         return sorted(best, key=lambda x: x[1:3])
 
@@ -103,9 +113,11 @@ def phrase_places(joined: bytes, phrases: dict[str, str] = PHRASES) -> list[tupl
     found = []
     for phrase, label in phrases.items():
         needle = b" " + phrase.encode() + b" "
-        at = joined.find(needle)
+        at, before, words = joined.find(needle), 0, 0
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            words += joined.count(b" ", before, at)
+            before = at
+            found.append((words, label))
             at = joined.find(needle, at + 1)
     return found
 
@@ -116,12 +128,13 @@ def scan(text: str | None, scanner: Scanner) -> dict:
     joined = b" " + b" ".join(words) + b" " if words else b""
     places = phrase_places(joined) if b"license" in joined else []
     plain = joined.decode("utf-8", "replace")
-    spans, score = [], 1.0 if places else 0.0
+    spans, score, at, spaces = [], 1.0 if places else 0.0, 0, 0
     for number, a, b, edits in scanner.spans(plain) if words else ():
         notice, label, _ = scanner.notices[number]
-        before = plain.count(" ", 0, a)
-        first = before if plain[a] == " " else before - 1  # the word that holds the first character
-        spans.append((label, max(first, 0), plain.count(" ", 0, b) - (plain[b - 1] == " "), edits))
+        spaces += plain.count(" ", at, a)
+        at = a
+        first = spaces if plain[a] == " " else spaces - 1  # the word that holds the first character
+        spans.append((label, max(first, 0), spaces + plain.count(" ", a, b) - (plain[b - 1] == " "), edits))
         score = max(score, 1 - edits / len(notice))
     base = {label for _, label in places}
     return {
