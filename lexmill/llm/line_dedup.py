@@ -121,8 +121,11 @@ def deduplicated(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     drops = cut(dropped_lines(docs, **options)).select(F.col("doc_id").alias("__lid"), F.col("key").alias("__lkey"), F.col("drop").alias("__ldrop"))
     name = fresh(docs, "dropped")
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__lid")) & (F.xxhash64("text") == F.col("__lkey")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__ldrop", i)), "\n")
-    text = F.when(F.col("__ldrop").isNull(), F.col("text")).otherwise(rest)
+    # the lines are a column of their own, so that the lambda below doesn't split the text for each of them
+    joined = joined.withColumn("__llines", F.when(F.col("__ldrop").isNotNull(), F.split("text", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__llines") - 1), F.col("__ldrop"))
+    rest = F.array_join(F.transform(stay, lambda i: F.get(F.col("__llines"), i)), "\n")
+    text = F.when(F.col("__llines").isNull(), F.col("text")).otherwise(rest)
     columns = [text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*columns, F.coalesce(F.size("__ldrop"), F.lit(0)).cast("long").alias(name)), name
 
