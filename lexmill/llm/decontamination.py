@@ -141,12 +141,21 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))),
     )
-    spans = per_doc.select(F.col("doc_id").alias("d2"), F.col("key").alias("key2"), merged.alias("spans"), "items")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + (x["end"] - x["start"]))
+    # counted on its own, so that the spans are only built for who reads them
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("last"))
+    covered = F.aggregate(
+        "raw",
+        start,
+        lambda acc, x: F.struct(
+            (acc["total"] + F.greatest(x["end"] - F.greatest(x["start"], acc["last"]), F.lit(0))).alias("total"), F.greatest(acc["last"], x["end"]).alias("last")
+        ),
+        lambda acc: acc["total"],
+    )
+    spans = per_doc.select(F.col("doc_id").alias("d2"), F.col("key").alias("key2"), merged.alias("spans"), covered.alias("n_hit"), "items")
     return base.join(spans, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("key2")), "left").select(
         "doc_id", "key", "n_words",
         F.coalesce("spans", empty).alias("spans"),
-        F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"),
     )
 
