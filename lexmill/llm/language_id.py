@@ -209,14 +209,14 @@ def pooled(net: BiGru, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -> BiGru | None:
     """Trains on rows of docs (doc_id, text, lang) outside the held-out fold."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    counts = {r["lang"]: r["n"] for r in docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1)).cast("long")).cast("int") + 1
     sample = (
-        known.filter(hash_share(F.col("doc_id")) < share[F.col("lang")])
+        known.filter((hash_share(F.col("doc_id")) < share[F.col("lang")]) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
         .select("doc_id", "lang", F.substr("text", place, F.lit(excerpt)).alias("t"))
         .limit(4 * per_lang * len(counts))  # a bound; the share above gives a quarter of it
         .toPandas()
