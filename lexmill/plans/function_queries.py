@@ -219,7 +219,7 @@ def narrative_render(spark: Session, sf: str) -> DataFrame:
 
 @query("surface_features", f"""
 SELECT doc_id, round(CASE WHEN len(l) = 0 THEN 0.5 ELSE len(regexp_extract_all(lower(text), '[aeiou]')) / len(l)::DOUBLE END, 9) AS vowels,
-  round(CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '[,.;:!?]')) / length(text)::DOUBLE END, 9) AS punctuation, len(w) - len(list_distinct(w)) AS repeats
+  round(CASE WHEN length(text) = 0 THEN 0 ELSE len(regexp_extract_all(text, '[,.;:!?]')) / length(text)::DOUBLE END, 9) AS punctuation, (len(w) - len(list_distinct(w)))::INT AS repeats
 FROM (SELECT doc_id, text, regexp_extract_all(lower(text), '\\p{{L}}') AS l, {Q.tokens('text')} AS w FROM documents)""")
 def surface_features(spark: Session, sf: str) -> DataFrame:
     """F20."""

@@ -90,7 +90,7 @@ def multi_key_probe(spark: Session, sf: str) -> DataFrame:
 
 
 @query("edit_neighbours", f"""
-SELECT a, b, distance FROM (SELECT a.token AS a, b.form AS b, levenshtein(a.token, b.form) AS distance, row_number() OVER (PARTITION BY a.token ORDER BY levenshtein(a.token, b.form), b.form) AS r
+SELECT a, b, distance::INT AS distance FROM (SELECT a.token AS a, b.form AS b, levenshtein(a.token, b.form) AS distance, row_number() OVER (PARTITION BY a.token ORDER BY levenshtein(a.token, b.form), b.form) AS r
   FROM (SELECT DISTINCT left(form, length(form) - 1) || 'x' AS token FROM {SQL_NAMES}) a JOIN {SQL_NAMES} b ON left(a.token, 3) = left(b.form, 3)
   WHERE length(a.token) >= 4 AND length(b.form) >= 4 AND abs(length(a.token) - length(b.form)) <= CASE WHEN length(a.token) < 7 THEN 2 ELSE 3 END
     AND levenshtein(a.token, b.form) BETWEEN 1 AND CASE WHEN length(a.token) < 7 THEN 1 ELSE 2 END) WHERE r = 1""")
@@ -161,7 +161,7 @@ WITH own AS (SELECT DISTINCT s_nationkey AS o, l_partkey AS c FROM lineitem JOIN
 sh AS (SELECT a.o AS o, b.o AS d, count(*) AS shared FROM own a JOIN own b USING (c) WHERE a.o <> b.o GROUP BY ALL HAVING count(*) >= 3),
 off AS (SELECT sh.o, own.c, sh.d, sh.shared FROM sh JOIN own ON own.o = sh.d WHERE NOT EXISTS (SELECT 1 FROM own x WHERE x.o = sh.o AND x.c = own.c)),
 r AS (SELECT o, c, d, shared, row_number() OVER (PARTITION BY o, c ORDER BY shared DESC, d) - 1 AS place FROM off)
-SELECT o AS owner, c AS concept, place, d AS donor, shared FROM r WHERE place < 3""")
+SELECT o AS owner, c AS concept, place::INT AS place, d AS donor, shared FROM r WHERE place < 3""")
 def donor_search(spark: Session, sf: str) -> DataFrame:
     """Parts that a nation's suppliers lack, and the nations most like it that have them."""
     own = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -200,7 +200,7 @@ WITH c AS (SELECT doc_id AS id, lang AS domain, text FROM documents), q AS (SELE
 qt AS (SELECT DISTINCT query, unnest({Q.words('text', '[a-z]{3,}')}) AS token FROM q), p AS (SELECT id, unnest({Q.words('text', '[a-z]{3,}')}) AS token FROM c),
 h AS (SELECT query, id, count(*)::DOUBLE AS s FROM p JOIN qt USING (token) GROUP BY ALL UNION ALL SELECT query, id, 1.5 FROM c JOIN q USING (domain)),
 t AS (SELECT query, id, sum(s) AS score FROM h GROUP BY ALL)
-SELECT query, place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS place FROM t) WHERE place < 8""")
+SELECT query, place::INT AS place, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) - 1 AS place FROM t) WHERE place < 8""")
 def ledger_inverted_search(spark: Session, sf: str) -> DataFrame:
     """Postings joined with query tokens; the eight best of each query. The stated query set is every item whose id
     divides by 50, against all documents."""
@@ -458,7 +458,7 @@ def catalog_scores(spark: Session, sf: str) -> DataFrame:
     return j.groupBy("source").agg(F.count("*").alias("n"), F.round(a, 9).alias("open_rate"), F.round(b, 9).alias("product_rate"), (((a >= 0.85) & (b >= 0.85)) | (F.count("*") < 20)).alias("ok"))
 
 
-@query("stream_statistics", "SELECT count(*) AS n, count_if(quality = 1) AS exact, count_if(toxic = 0) AS soft, round(avg(n_chars), 6) AS mean FROM labels JOIN documents USING (doc_id)")
+@query("stream_statistics", "SELECT count(*) AS n, count_if(quality = 1)::BIGINT AS exact, count_if(toxic = 0)::BIGINT AS soft, round(avg(n_chars), 6) AS mean FROM labels JOIN documents USING (doc_id)")
 def stream_statistics(spark: Session, sf: str) -> DataFrame:
     """One aggregate for all counters."""
     j = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -549,7 +549,7 @@ def first_and_last_wins(spark: Session, sf: str) -> DataFrame:
     return a.join(pick_by_order(p, ["p_type"], last=True).select("p_type", F.col("p_name").alias("last")), "p_type")
 
 
-@query("running_best_plateau", "SELECT conv_id, turn, best, turn - max(CASE WHEN n > coalesce(before, -1) THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS since FROM (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS best, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)")
+@query("running_best_plateau", "SELECT conv_id, turn, best::INT AS best, turn - max(CASE WHEN n > coalesce(before, -1) THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS since FROM (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS best, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)")
 def running_best_plateau(spark: Session, sf: str) -> DataFrame:
     """Best so far, and rounds since it improved."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -573,7 +573,7 @@ def turn_context(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"), F.least(F.lit(3) + F.floor(F.col("turn") / 3), F.lit(20)).alias("hits"))
 
 
-@query("window_frames", "SELECT o_custkey, o_orderkey, ntile(4) OVER w AS quarter, lead(o_orderkey) OVER w AS next, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+@query("window_frames", "SELECT o_custkey, o_orderkey, (ntile(4) OVER w)::INT AS quarter, lead(o_orderkey) OVER w AS next, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 def window_frames(spark: Session, sf: str) -> DataFrame:
     """Frames, an extension."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -593,7 +593,7 @@ def top_k_per_group(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "orders").withColumn("r", F.row_number().over(w)).filter("r <= 5").select("o_orderpriority", "o_orderkey")
 
 
-@query("longest_key_first", f"SELECT form, length(form) AS n FROM {SQL_NAMES} ORDER BY n DESC, form LIMIT 30")
+@query("longest_key_first", f"SELECT form, length(form)::INT AS n FROM {SQL_NAMES} ORDER BY n DESC, form LIMIT 30")
 def longest_key_first(spark: Session, sf: str) -> DataFrame:
     """K4."""
     return names(spark, sf).select("form", F.length("form").alias("n")).orderBy(F.desc("n"), "form").limit(30)
