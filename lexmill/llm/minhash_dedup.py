@@ -7,10 +7,10 @@ of 2r hashes from only 2m * r hashes. Two sets of similarity s meet in some tabl
 part of a shared key, so only the shared ones are multiplied out.
 
 Copies are never compared: documents with equal sets form a class and its smallest id stands for it. Within
-a table's bucket classes meet a pivot (a star, linear in the bucket); pairs whose lengths or one-bit sketches
-rule a link out are dropped (the sketch by more than six standard deviations). Each class is first compared
-with the pivot that it meets in most tables. Classes that the stars tie together are a family. Where a family is
-still in several components, each class outside the largest one is compared with the whole family, in blocks
+a table's bucket classes meet a pivot (a star, linear in the bucket). Classes that the stars tie together are a
+family, whatever the pivot is like, so two classes that share a bucket are always in one. Each class is first
+compared with the pivot that it meets in most tables, of those that neither lengths nor one-bit sketches rule out
+(the sketch by more than six standard deviations). Where a family is still in several components, each class outside the largest one is compared with the whole family, in blocks
 of `BLOCK` by `BLOCK` classes, with an inverted index in each, so neither the rows nor a task grow with the
 square of a family. Every link is confirmed on the whole sets of words. Components are found by distributed
 label propagation with pointer jumping.
@@ -243,11 +243,10 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
     pivots = tables.groupBy("key").agg(F.min("c").alias("u"), F.max("c").alias("last")).filter("u < last").select("key", "u")
     met = tables.join(pivots, "key").filter("c <> u").groupBy("u", F.col("c").alias("v")).agg(F.count("*").alias("met"))
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    near_size = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
     stars = cut(
         met.join(side("v"), "v").join(side("u"), "u")
-        .filter(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-        .filter(_sketch_agrees("bits_u", "bits_v", 2 * subkeys * hashes, SKETCH_FLOOR))
-        .select("u", "v", "met")
+        .select("u", "v", "met", (near_size & _sketch_agrees("bits_u", "bits_v", 2 * subkeys * hashes, SKETCH_FLOOR)).alias("likely"))
     )
 
     # texts of the classes that meet another one, read once for all comparisons. The hints keep these joins the same at
@@ -271,7 +270,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
         texts = cut(texts.mapInPandas(own_class, f"c {c_kind}, text string").dropDuplicates(["c"]))
 
     nodes = classes.select(F.col("c").alias("node"), F.struct(F.col("rep").isNull().alias("none"), "rep").alias("ord"))
-    first = stars.groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
+    first = stars.filter("likely").groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
     joined = first.hint("merge").join(texts.select(F.col("c").alias("v"), F.col("text").alias("text_v")), "v")
     joined = joined.hint("merge").join(texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")), "u")
     links = cut(joined.select("u", "v", "text_u", "text_v").mapInPandas(_confirm(words, percent), f"u {c_kind}, v {c_kind}"))
@@ -279,7 +278,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
 
     # families that are still in several components
     home = labels.select(F.col("node").alias("c"), F.col("label.id").alias("home"))
-    member = components(nodes, stars).select(F.col("node").alias("c"), F.col("label.id").alias("family"))
+    member = components(nodes, stars.select("u", "v")).select(F.col("node").alias("c"), F.col("label.id").alias("family"))
     member = cut(member.join(home, "c", "left").select("family", "c", F.coalesce("home", "c").alias("home")))
     parts = member.groupBy("family", "home").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("family").agg(F.max_by("home", F.struct("k", "home")).alias("main"), F.sum("k").alias("n"), F.max("k").alias("most"), F.count("*").alias("parts"))

@@ -158,6 +158,26 @@ def test_near_duplicates_of_a_large_family(spark):
     assert wrong == 0
 
 
+def test_near_duplicates_meet_beside_unlike_pivots(spark):
+    """Two near-copies among partial copies with smaller ids, which are the pivots of all their buckets and too short for a link."""
+    import random
+
+    from lexmill.llm.minhash_dedup import near_duplicates
+
+    rng = random.Random(11)
+    lines = [[f"{rng.choice('bcdfgh')}{i}x{j}" for j in range(10)] for i in range(40)]
+    text = lambda chosen: "\n".join(" ".join(x) for x in chosen)
+    near = [list(x) for x in lines]
+    for at in rng.sample(range(400), 11):
+        near[at // 10][at % 10] = "other"
+    rows = [(i, text(lines[j] for j in sorted(rng.sample(range(40), 31))), "en", "s", 1) for i in range(150)]
+    rows += [(500, text(lines), "en", "s", 1), (501, text(near), "en", "s", 1)]
+    _, low, _ = components(rows)
+    assert low[-2:] == [500, 500]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == dict(zip([r[0] for r in rows], low, strict=True))
+
+
 def test_token_counts_match_whole_texts(spark, rows):
     from tokenizers import Tokenizer
 
