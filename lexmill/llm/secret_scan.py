@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives; DataFrame functions and Spark ML only.
 
-Candidates are runs of 16 to 200 key characters with a digit, and private-key headers. The forest judges each by its
+Candidates are whole runs of 16 or more key characters with a digit, and private-key headers. The forest judges each by its
 length, character classes and their transitions, the share that dictionary words cover, path-like form, and the
 neighbouring words. It is trained from labelled findings (value, left, right, path, label); without any of the
 caller's, `labelled_findings()` makes a fixed set from rules: keys beside words that name them against digests,
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import pick
 from lexmill.session import cut, table
 
-KEY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,199}[0-9])[A-Za-z0-9+/_=-]{16,200}"
+#: '=' is padding at the end of a run, and a sign between a name and its value elsewhere.
+KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
 CANDIDATE = f"{HEADER}|{KEY}"
 #: Characters of context on the left and on the right.
@@ -97,7 +98,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         "found",
         lambda value, i: F.struct(
             value.alias("value"),
-            F.substring(F.get("around", i), -LEFT, LEFT).alias("left"),
+            # a name with a digit is a candidate itself, and stands before its value
+            F.substring(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.get("around", i)), -LEFT, LEFT).alias("left"),
             F.substring(F.get("around", i + 1), 1, RIGHT).alias("right"),
         ),
     )
@@ -105,7 +107,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
-    """value, left, right, path, label: a fixed set made by rule from hashes of 0, 1, 2, ..."""
+    """value, left, right, path, label: a fixed set made by rule from hashes of 0, 1, 2, ..., as candidates() reads it from texts"""
     hexes = lambda seed: F.sha2(F.concat(F.lit(seed), F.col("id").cast("string")), 256)
     packed = lambda seed: F.regexp_replace(F.base64(F.unhex(hexes(seed))), "=", "")
     pick_of = lambda values, seed: F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(values))) + 1).cast("int"))
@@ -124,16 +126,18 @@ def labelled_findings(spark: SparkSession, rows: int = FINDINGS) -> DataFrame:
         kind == 7, F.concat(words, F.lit("_"), (F.col("id") % 97).cast("string"))).when(
         kind == 8, F.concat(F.lit("src/"), F.regexp_replace(words, "_", "/"), (F.col("id") % 7).cast("string"))).otherwise(
         F.concat(F.lit("example_key_1234567890"), (F.col("id") % 3).cast("string")))
-    context = lambda what: F.concat(pick_of(("", "see ", "with ", "x.\n", "and then "), 9), what)
+    context = lambda what: F.concat(pick_of(("", "see ", "with ", "x.\n", "and then ", "export ", "https://host/get?x=1&"), 9), what)
     good = kind < 5
-    return spark.range(0, rows, 1, 4).select(
+    made = spark.range(0, rows, 1, 4).select(
+        "id",
         F.when(good, secret).otherwise(harmless).alias("value"),
         F.when(good, context(F.concat(name, sign))).when(kind == 8, context(pick_of(("/", "https://host/", "in "), 10))).when(
             kind == 9, context(F.concat(name, sign))).otherwise(context(other)).alias("left"),
         F.when(good & sign.contains('"'), F.lit('" x')).otherwise(pick_of((" and", "\n", ".", ""), 11)).alias("right"),
         pick_of(("", "src0", "a.py", "conf.yaml", "notes.txt"), 12).alias("path"),
-        good.cast("int").alias("label"),
     )
+    read = candidates(made.select(F.col("id").alias("doc_id"), F.concat("left", "value", "right").alias("text"), "path")).filter(F.col("value").isNotNull())
+    return read.select("value", "left", "right", "path", (F.col("doc_id") % 10 < 5).cast("int").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
