@@ -24,7 +24,9 @@ from lexmill.session import cut, table
 #: '=' is padding at the end of a run, and a sign between a name and its value elsewhere.
 KEY = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 HEADER = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-CANDIDATE = f"{HEADER}|{KEY}"
+#: Shorter values with a digit right behind a name and '='.
+SHORT = r"(?<=[A-Za-z0-9_-]=)(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{6,15}+(?![A-Za-z0-9+/_-])"
+CANDIDATE = f"{HEADER}|{KEY}|{SHORT}"
 #: Characters of context on the left and on the right.
 LEFT, RIGHT = 48, 16
 THRESHOLD = 0.5

@@ -99,6 +99,14 @@ def test_secret_scan_of_names_with_values_and_long_runs(spark):
     assert all(read[i][0] in found[i] for i in range(4)), found
 
 
+def test_secret_candidates_of_short_values(spark):
+    from lexmill.llm import secret_scan as S
+
+    rows = [(1, "my_password=hunter2pass1 x", "en", "s", 1)]
+    found = S.candidates(frame(spark, rows).withColumn("path", F.col("source"))).collect()
+    assert [(r["value"], r["left"]) for r in found] == [("hunter2pass1", "my_password=")]
+
+
 def brute_targets(sizes, weights=(3, 1, 2), total=1.5, most=2):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
