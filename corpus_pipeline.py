@@ -47,7 +47,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The first stage is a trained network, which SQL can't express; tests hold run() against a brute-force version.
+#: The first stage is a trained network, which SQL can't express; tests hold run() against its stages called one by one.
 ORACLE_SQL = None
 
 
