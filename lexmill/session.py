@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -49,10 +50,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see. The session's setting wins; a temporary folder is only used
-    where none is set, as in tests on one machine."""
+    where none is set and driver and executors are one process, as in tests on one machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lexmill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)

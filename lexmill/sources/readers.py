@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexmill.session import cut
+
 GOLD = (
     "source_lang string, source_word string, target_lang string, target_word string, meaning_key string, "
     "confidence double, tier string, source_title string, pos string, is_name boolean"
@@ -210,9 +212,10 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, *order: str, name: str = "ord") -> DataFrame:
-    """0, 1, 2, ... in a total order, made from counts per range partition, so no task gets all rows."""
+    """0, 1, 2, ... in a total order, made from counts per range partition, so no task gets all rows. The ranges are
+    written, as their bounds are sampled and would not be the same twice."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.withColumn("__i", F.monotonically_increasing_id())
+    ranged = cut(ranged.withColumn("__i", F.monotonically_increasing_id()))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     offsets = counts.select("__p", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
