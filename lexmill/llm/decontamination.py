@@ -8,12 +8,12 @@ are verified by all shingles that tile the window at their exact positions.
 
 The documents are read once. Only postings of benchmark shingles and one row per document leave that scan.
 The benchmark's shingles are broadcast if their counted number is within `broadcast_rows`; beyond it the same
-join is dealt by shingle. Shingles are 64-bit hashes; a window is only reported if several of them agree at
-exact positions.
+join is dealt by shingle. Shingles are 64-bit hashes that include their length; a window of ten words is reported if
+its two tiles agree at exact positions, one of `SHINGLE` words or fewer if its only one does.
 
 Cases: null or empty texts have no words; items without words match nothing; an item without id marks words
 but isn't listed; repeated documents are returned row by row, repeated items count once; an empty benchmark
-or an empty table gives no hits or no rows; other columns of either table are not read.
+or an empty table gives no hits or no rows; other columns of either table, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import alnum_words, pick
+from lexmill.llm.common import alnum_words, fresh, pick
 from lexmill.session import cut, table
 
 WINDOW = 10
@@ -174,8 +174,9 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **options) -> DataFrame:
     """The documents with all their columns, without those of which more than max_share of the words is hit."""
     hit = contaminated_words(docs, benchmark, **options).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * max_share))
-    bad = hit.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__k")), "left_anti")
+    bad_id, bad_key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
+    bad = hit.select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

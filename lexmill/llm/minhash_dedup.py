@@ -313,10 +313,10 @@ def keep_one_of_each(
     found = cut(_classified(docs, words, percent, subkeys, hashes).select("doc_id", "key", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     chosen = found.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("o"))
-    stay = chosen.select(F.col("o.doc_id").alias("__id"), F.col("o.key").alias("__key"))
+    key, own_id, own_key = fresh(docs, "text_key"), fresh(docs, "own_id"), fresh(docs, "own_key")
+    stay = chosen.select(F.col("o.doc_id").alias(own_id), F.col("o.key").alias(own_key))
     stay = stay.union(found.filter(F.col("group").isNull()).select("doc_id", "key").distinct())
-    key = fresh(docs, "text_key")
-    kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key")), "left_semi")
+    kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_semi")
     twice = found.filter(F.col("group").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count()
     if twice:  # repeated rows
         kept = kept.dropDuplicates(["doc_id", key])
