@@ -2,8 +2,8 @@
 
 Texts are cut into pieces at safe boundaries, one space between two characters that aren't white space, where
 byte-level pre-tokenisation always starts a new word, so the pieces' counts add up to the text's. Pieces are
-gathered into batches of about `batch_bytes`, whatever the number of texts, and only the length of each
-encoding is kept.
+gathered into batches of at most `batch_bytes` bytes of UTF-8, whatever the number of texts, and only the length of
+each encoding is kept. (A piece that is larger on its own, as a text without a boundary, is a batch by itself.)
 
 Cases: a null text counts as empty and has no tokens; repeated rows are returned one by one; an empty table
 gives an empty result; texts without a safe boundary are encoded whole; other columns are not read.
@@ -64,7 +64,7 @@ def _lengths(path: str, batch_bytes: int, piece_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             counts = [0] * len(texts)
             held, owners, weight = [], [], 0
 
@@ -74,16 +74,18 @@ def _lengths(path: str, batch_bytes: int, piece_chars: int):
                 held.clear()
                 owners.clear()
 
-            for row, text in enumerate(texts):
+            for row, value in enumerate(texts):
+                text = value.as_py()  # one at a time: only what is held for a batch is in memory twice
                 if not text:
                     continue
                 for piece in pieces(text, piece_chars):
-                    held.append(piece)
-                    owners.append(row)
-                    weight += len(piece)
-                    if weight >= batch_bytes:
+                    size = len(piece) if piece.isascii() else len(piece.encode("utf-8", "surrogatepass"))
+                    if held and weight + size > batch_bytes:
                         flush()
                         weight = 0
+                    held.append(piece)
+                    owners.append(row)
+                    weight += size
             if held:
                 flush()
             yield pa.RecordBatch.from_arrays(
