@@ -6,8 +6,9 @@ language is the mean over all its positions. Prediction cuts the whole text into
 and runs thousands of segments side by side, each step a few small matrix products.
 
 Training reads a bounded sample of the labelled rows: about `per_lang` documents of each language, chosen by
-the hash of the id, one excerpt of `excerpt` characters from a place in the text chosen by that hash. The
-list of languages is taken over all labelled rows. Weights are a few thousand floats and travel with the task.
+the hash of the id, one excerpt of `excerpt` characters from a place in the text chosen by that hash. Languages are
+counted over all labelled rows, and the `max_langs` most frequent of them are learnt, so that dirty labels make
+neither the sample nor the network unbounded. Weights are a few thousand floats and travel with the task.
 
 Cases: null texts and texts without a letter get `und` and score 0; rows with a null label are not learnt
 from; without any labelled row everything is `und`; repeated rows are returned one by one; an empty table
@@ -30,6 +31,7 @@ HIDDEN = 12
 SEGMENT = 128
 BLOCK = 2048
 PER_LANG = 400
+MAX_LANGS = 500
 EXCERPT = 400
 EPOCHS = 5
 SEED = 7
@@ -207,16 +209,17 @@ def pooled(net: BiGru, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
 # --- over tables -------------------------------------------------------------------------------------------
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT) -> BiGru | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, max_langs: int = MAX_LANGS) -> BiGru | None:
     """Trains on rows of docs (doc_id, text, lang) outside the held-out fold."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    counts = {r["lang"]: r["n"] for r in common.collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_lang / n))])
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.greatest(F.length("text") - excerpt, F.lit(1)).cast("long")).cast("int") + 1
     sample = (
-        known.filter((hash_share(F.col("doc_id")) < share[F.col("lang")]) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        known.filter((hash_share(F.col("doc_id")) < F.coalesce(share[F.col("lang")], F.lit(0.0))) & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
         .select("doc_id", "lang", F.substr("text", place, F.lit(excerpt)).alias("t"))
         .limit(4 * per_lang * len(counts))  # a bound; the share above gives a quarter of it
         .toPandas()
@@ -261,10 +264,11 @@ def language_id(docs: DataFrame, **options) -> DataFrame:
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataFrame:
     """The documents with all their columns, without those that get no language or hardly any certainty. The
-    verdict is found in the row's own task, so rows with the same id are judged one by one."""
+    verdict is found in the row's own task, so rows with the same id are judged one by one. Without any labelled row
+    there is nothing to judge by, and all documents stay."""
     net = fit(pick(docs, doc_id="doc_id", text="text", lang="lang"), **options)
     if net is None:
-        return docs.limit(0)
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _predictor(net)
