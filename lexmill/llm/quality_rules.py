@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import pick, space_words
+from lexmill.llm.common import fresh, pick, space_words
 from lexmill.session import cut, table
 
 #: Fixed values of the base rules.
@@ -120,23 +120,31 @@ def host_verdicts(measured: DataFrame, max_host_rate: float = MAX_HOST_RATE) ->
 
 
 def quality_rules(docs: DataFrame, host: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """doc_id, the measures, base_failed, kept, host, host_failed: one row per document.
+    """doc_id, the measures, base_failed, kept, and of the host: host_n, host_base_failed (documents), host_rate (shrunk),
+    host_failed. One row per document.
 
     The measures are made once and kept in the shared folder, as the hosts' sums and the result both need
     them. What is joined back is one row per host, without texts."""
     measured = cut(measures(docs, host=host).withColumn("base_failed", base_failed()))
-    verdicts = host_verdicts(measured, max_host_rate).select(F.col("host").alias("vhost"), "host_failed")
+    verdicts = host_verdicts(measured, max_host_rate).select(
+        F.col("host").alias("vhost"), F.col("n").alias("host_n"), F.col("failed").alias("host_base_failed"), F.round("host_rate", 6).alias("host_rate"), "host_failed"
+    )
     joined = measured.join(verdicts, F.col("host").eqNullSafe(F.col("vhost")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"), "host_failed",
+        (~F.col("base_failed") & ~F.coalesce("host_failed", F.lit(False))).alias("kept"), "host_n", "host_base_failed", "host_rate", "host_failed",
     )
 
 
-def filter_quality(docs: DataFrame, **options) -> DataFrame:
-    """The kept documents with all their columns; ids should be unique."""
-    good = quality_rules(docs, **options).filter("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi")
+def filter_quality(docs: DataFrame, host: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """The kept documents with all their columns. Rows are numbered in a written table, so each has its own verdict,
+    whatever its id."""
+    row, good_row = fresh(docs, "row"), fresh(docs, "good_row")
+    own = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    host = F.col("source") if host is None else host
+    rules = quality_rules(own.select(F.col(row).alias("doc_id"), F.col("text"), host.alias("source")), max_host_rate=max_host_rate)
+    good = rules.filter("kept").select(F.col("doc_id").alias(good_row))
+    return own.join(good, F.col(row) == F.col(good_row), "left_semi").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -168,9 +176,9 @@ q AS (
   SELECT mean, mean * (1 - mean) AS spread,
          greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) * inv, mean * (1 - mean) * 1e-3) - 1, 1.0) AS strength FROM p),
 v AS (
-  SELECT host, (failed + CASE WHEN mean IN (0, 1) THEN 0.5 ELSE mean * strength END)
-             / (n + CASE WHEN mean IN (0, 1) THEN 1.0 ELSE strength END) > 0.5 AS host_failed FROM h, q)
+  SELECT host, n, failed, (failed + CASE WHEN mean IN (0, 1) THEN 0.5 ELSE mean * strength END)
+             / (n + CASE WHEN mean IN (0, 1) THEN 1.0 ELSE strength END) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT host_failed AS kept, host_failed
+       NOT base_failed AND NOT rate > 0.5 AS kept, n AS host_n, failed::BIGINT AS host_base_failed, round(rate, 6) AS host_rate, rate > 0.5 AS host_failed
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.host
 """
