@@ -44,7 +44,11 @@ def edges():
     ]
 
 
-CLASHES = ("n_words", "kept", "component_id", "score", "labels", "key", "h", "w", "n", "size", "copy_", "home", "c", "pos", "line", "value", "target", "th")
+CLASHES = (
+    "n_words", "kept", "component_id", "score", "labels", "key", "h", "w", "n", "size", "copy_", "home", "c", "pos", "line", "value", "target", "th",
+    "copy", "rate", "entry", "sketch", "template", "__lid", "__lkey", "__ldrop", "__lparts", "__dropped", "__bad_id", "__bad_key", "__own_id", "__own_key",
+    "__text_key", "__row", "__rid", "__copies", "__copy", "__good_row", "__id", "__key", "__d", "__k", "__c", "__i", "__s", "__z", "__llines",
+)
 
 
 def frame(spark, rows, clash=False):

@@ -74,23 +74,36 @@ def test_license_scan_matches_brute_force(spark, rows):
 
 
 def test_license_seeds_miss_no_bounded_match():
+    """Against the regex library over whole texts: substitutions, deletions and insertions, alone and mixed."""
     import random
 
     import regex
 
-    from lexmill.llm.license_scan import NOTICES, Scanner
+    from lexmill.llm.license_scan import NOTICES, Scanner, scan
 
     scanner, rng = Scanner(), random.Random(1)
+    whole = [regex.compile(f"(?b)(?:{regex.escape(t)}){{e<={len(t) // 10}}}") for t, _ in NOTICES]
     for text, _ in NOTICES:
         k = len(text) // 10
-        for _ in range(20):
+        for trial in range(24):
             edited = list(text)
-            for _ in range(k):
-                at = rng.randrange(len(edited))
-                edited[at : at + 1] = rng.choice(["", "x", "yz"])[: 1 + 0]
-            inside = "aa bb " + "".join(edited) + " cc dd"
-            whole = any(regex.search(f"(?:{regex.escape(t)}){{e<={len(t) // 10}}}", inside) for t, _ in NOTICES)
-            assert bool(scanner.spans(inside)) == whole
+            for _ in range(k + (trial % 8 == 7)):  # some have one edit too many
+                at, kind = rng.randrange(len(edited)), trial % 4 if trial % 4 < 3 else rng.randrange(3)
+                edited[at : at + (kind != 2)] = rng.choice([["x"], [], ["z"]][kind : kind + 1])
+            inside = " ".join(f"aa bb {''.join(edited)} cc dd".split())
+            found = scanner.spans(inside)
+            matches = [(m.start(), m.end(), sum(m.fuzzy_counts)) for m in (p.search(inside) for p in whole) if m]
+            for a, b, edits in matches:
+                assert any(x < b and a < y and e <= edits for _, x, y, e in found), inside
+            assert bool(found) == bool(matches)
+            for number, a, b, edits in found:
+                exact = regex.fullmatch(f"(?:{regex.escape(NOTICES[number][0])}){{e<={edits}}}", inside[a:b])
+                assert exact, "a span is a match with its edits"
+            one = scan(inside, scanner)
+            assert one["labels"] - one["base"] <= {NOTICES[n][1] for n, *_ in found} and {x[0] for x in one["spans"]} == {NOTICES[n][1] for n, *_ in found}
+            for (label, first, end, _), (_, a, b, _) in zip(one["spans"], found, strict=True):
+                words = inside.split(" ")
+                assert set(inside[a:b].split()) <= set(" ".join(words[first:end]).split()) or inside[a:b].strip() in " ".join(words[first:end]), label
 
 
 def components(rows):
@@ -240,6 +253,86 @@ def test_line_dedup_drops_recurring_lines(spark, rows, tmp_path):
     assert kept.columns == frame(spark, rows, clash=True).columns and kept.filter("doc_id = 1000").count() == 1
 
 
+def test_line_dedup_tells_templates_of_one_leaf_apart(spark):
+    """Four interleaved templates of one length and opening, each with a variable field, and single lines among them."""
+    from lexmill.llm import line_dedup as L
+
+    names = ["ann", "bob", "cyd", "dan", "eve"]
+    forms = [
+        "2024 INFO main user {} logged in from the office at noon", "2024 INFO main disk of {} is nearly full again since last week",
+        "2024 INFO main mail to {} could not be sent by this server", "2024 INFO main job for {} was done without any fault or delay",
+    ]
+    rows = [(i, "\n".join(f.format(n) for f in forms), "en", "s", 1) for i, n in enumerate(names)]
+    rows += [(50 + i, "2024 INFO main " + " ".join(f"{c}{j}" .replace("1", "x").replace("0", "y") for j in "abcdefgh"), "en", "s", 1) for i, c in enumerate("pqrs")]
+    for limit in (10**6, 0):  # leaves broadcast, and dealt
+        found = {r["doc_id"]: r for r in L.line_dedup(frame(spark, rows), broadcast_rows=limit).collect()}
+        assert found[0]["n_dropped"] == 0 and [found[i]["n_dropped"] for i in range(1, 5)] == [4] * 4
+        assert all(found[50 + i]["n_dropped"] == 0 for i in range(4))
+
+
+def test_line_dedup_spares_near_copies(spark):
+    import random
+
+    from lexmill.llm.line_dedup import drop_recurring
+
+    rng = random.Random(2)
+    passage, own = sentence(rng, 60), [[sentence(rng, 55) for _ in range(3)] for _ in range(3)]
+    near = [own[0][0], own[0][1].replace(own[0][1].split(" ")[9], "another", 1), own[0][2]]
+    rows = [(0, "\n".join([*own[0], passage]), "en", "s", 1), (1, "\n".join([*near, passage]), "en", "s", 1), (2, "\n".join([own[1][0], passage, own[1][1]]), "en", "s", 1)]
+    rows += [(3, "\n".join([*own[0], passage]), "en", "s", 1), (4, "\n".join([own[0][0], own[2][0], own[2][1], own[2][2]]), "en", "s", 1)]
+    left = {r["doc_id"]: r["text"].split("\n") for r in drop_recurring(frame(spark, rows), spare=0.7).collect()}
+    assert left == {0: [*own[0], passage], 1: [*near, passage], 2: [own[1][0], own[1][1]], 3: [*own[0], passage], 4: own[2]}
+    plain = {r["doc_id"]: r["text"] for r in drop_recurring(frame(spark, rows)).collect()}
+    assert 3 not in plain and all(i == 0 or passage not in text for i, text in plain.items())
+
+
+def test_stages_keep_rows_whole(spark):
+    """Every helper column's name is taken by the caller's table: its values stay, and no row is lost or made."""
+    from lexmill.llm import decontamination, line_dedup, minhash_dedup, mixing, quality_rules
+
+    rows = corpus()
+    docs = frame(spark, rows, clash=True)
+    benchmark = spark.createDataFrame([(1, " ".join(rows[0][1].split()[:14]))], "item_id long, text string")
+    for name, found in (
+        ("lines", line_dedup.drop_recurring(docs, spare=0.7)), ("copies", minhash_dedup.keep_one_of_each(docs)),
+        ("benchmark", decontamination.remove_contaminated(docs, benchmark)), ("mix", mixing.mix_documents(docs)), ("quality", quality_rules.filter_quality(docs)),
+    ):
+        got = found.collect()
+        extra = [c for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert got and found.columns[: len(docs.columns)] == docs.columns and all(r[c] == "other" for r in got for c in extra), name
+        if name != "lines":
+            assert {tuple(r[:5]) for r in got} <= set(rows), name
+        if name != "mix":
+            assert len(got) == len({r["doc_id"] for r in got}) and found.columns == docs.columns, name
+
+
+def test_filter_quality_judges_rows(spark):
+    from lexmill.llm.quality_rules import filter_quality
+
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, good, "en", "s", 1), (None, "short", "en", "s", 1), (1, good, "en", "s", 1), (1, "short", "en", "s", 1), (2, good, "en", "s", 1), (2, good, "en", "s", 1)]
+    assert rows_of(filter_quality(frame(spark, rows)), "doc_id", "text") == sorted([(None, good), (1, good), (2, good), (2, good)], key=repr)
+
+
+def test_token_batches_are_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    from lexmill.llm import token_counts as T
+
+    seen = []
+
+    class Spy:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.append(sum(len(t.encode()) for t in texts))
+            return [[0]] * len(texts)
+
+    monkeypatch.setattr(T, "_tokenizer", lambda path: Spy())
+    texts = ["\u4e2d\u6587 " * 400, "plain words " * 300, None, "", "\u00e9 " * 900] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25)), pa.array([0] * 25), pa.array(texts)], names=["doc_id", "n_bytes", "text"])
+    assert [x.num_rows for x in T._lengths("", 2000, 64)(iter([batch]))] == [25]
+    assert max(seen) <= 2000 and sum(seen) > 15_000 and len(seen) < 40
+
+
 def test_sql_twins(spark, tmp_path):
     import duckdb
 
