@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.session import cut
+from lexmill.sources.readers import number_rows
 
 
 def parallel_pairs(sentences: DataFrame, links: DataFrame, target: str, held_out: DataFrame, least: int = 2, most: int = 40, cap: int | None = None) -> DataFrame:
@@ -27,11 +28,11 @@ def parallel_pairs(sentences: DataFrame, links: DataFrame, target: str, held_out
 
 def even_sample(df: DataFrame, group: str, order: list[str], cap: int) -> DataFrame:
     """Every step-th row of a group in the order, step = max(1, rows // cap), the first cap of them."""
-    w = Window.partitionBy(group).orderBy(*order)
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    ranked = df.withColumn("__i", F.row_number().over(w) - 1).join(sizes, group)
+    numbered = cut(number_rows(df, group, *order, name="__o"))  # by ranges, as a group may hold most rows
+    sizes = numbered.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.min("__o").alias("__first"))
+    ranked = numbered.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__i", F.col("__o") - F.col("__first"))
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / cap))
-    return ranked.filter((F.col("__i") % step == 0) & (F.col("__i") / step < cap)).drop("__i", "__n")
+    return ranked.filter((F.col("__i") % step == 0) & (F.col("__i") / step < cap)).select(*df.columns)
 
 
 def cooccurrence(pairs: DataFrame, src: str = "src", ref: str = "ref") -> DataFrame:
@@ -114,27 +115,33 @@ def sentence_bleu(hyp: Column, ref: Column, most: int = 4) -> Column:
     return F.when((F.size(hyp) == 0) | (F.size(ref) == 0), 0.0).otherwise(bp * F.exp(sum(logs) / most))
 
 
-def decode(sentences: DataFrame, phrases: dict[str, str], longest: int = 3) -> DataFrame:
-    """id, text to id, out: greedy from left to right, the longest phrase that the table has, else the word itself. The
-    choice at a word depends on the choices before it, so it is a loop in an Arrow batch; the table is a checked, small
-    broadcast (the caller builds it from thresholds)."""
+def decode(sentences: DataFrame, phrases: DataFrame, longest: int = 3) -> DataFrame:
+    """id, out: greedy from left to right, the longest phrase that the table (s, t; one row per s) has, else the word
+    itself. Phrases of a text are found by a join, so the table may be of any size; the choice at a word depends on
+    the choices before it, so it is a loop over the text's own hits in an Arrow batch."""
+    own = sentences.select("id", F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda x: x != "").alias("toks"))
+
+    def grams(n: int) -> Column:
+        return F.transform("toks", lambda _, i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.concat_ws(" ", F.slice("toks", i + 1, n)).alias("s")))
+
+    inside = F.filter(F.concat(*map(grams, range(1, longest + 1))), lambda g: g["i"] + g["n"] <= F.size("toks"))
+    each = own.select("id", F.explode(inside).alias("g")).select("id", "g.*").join(phrases.select("s", "t"), "s")
+    hits = each.groupBy("id").agg(F.collect_list(F.struct("i", "n", "t")).alias("hits"))  # as many as the text has words, times `longest`
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             outs = []
-            for text in b["text"]:
-                toks, i, out = (text or "").lower().split(), 0, []
+            for toks, found in zip(b["toks"], b["hits"], strict=True):
+                known = {} if found is None else {(h["i"], h["n"]): h["t"] for h in found}
+                i, out = 0, []
                 while i < len(toks):
-                    for n in range(min(longest, len(toks) - i), 0, -1):
-                        key = " ".join(toks[i : i + n])
-                        if key in phrases or n == 1:
-                            out.append(phrases.get(key, key))
-                            i += n
-                            break
+                    n = next((n for n in range(longest, 0, -1) if (i, n) in known), 0)
+                    out.append(known[i, n] if n else toks[i])
+                    i += max(n, 1)
                 outs.append(" ".join(out))
             yield pd.DataFrame({"id": b["id"], "out": outs})
 
-    return sentences.select("id", "text").mapInPandas(run, "id long, out string")
+    return own.join(hits, "id", "left").mapInPandas(run, f"id {dict(own.dtypes)['id']}, out string")
 
 
 def install_pairs(pairs: DataFrame) -> DataFrame:

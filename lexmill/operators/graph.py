@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators.similarity import best_of
+
 
 def build(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, label) and edges (src, rel, dst) of bindings (sense, lang, form, ord). Labels keep the longest;
@@ -73,9 +75,8 @@ def donors(present: DataFrame, k: int = 3, least: int = 3) -> DataFrame:
     shared = own.select(F.col("owner").alias("o"), "concept").join(own.select(F.col("owner").alias("d"), "concept"), "concept").filter("o <> d").groupBy("o", "d").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
     offered = shared.join(own.select(F.col("owner").alias("d"), "concept"), "d")
     lacking = offered.join(own.select(F.col("owner").alias("o"), "concept"), ["o", "concept"], "left_anti")
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("shared")).alias("s"), "d"))), 1, k)
-    top = lacking.groupBy("o", "concept").agg(best.alias("best"))
-    return top.select(F.col("o").alias("owner"), "concept", F.posexplode("best").alias("place", "x")).select("owner", "concept", "place", F.col("x.d").alias("donor"), (-F.col("x.s")).alias("shared"))
+    best = best_of(lacking, ["o", "concept"], [F.desc("shared"), F.col("d")], k)
+    return best.select(F.col("o").alias("owner"), "concept", (F.col("place") - 1).alias("place"), F.col("d").alias("donor"), "shared")
 
 
 def domain_edges(nodes: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ def zscore(x: str, by: str) -> Column:
 
 def length_penalty(n: str, by: str) -> Column:
     """-|ln(n / median)| with the upper median of the pool."""
-    sizes = F.array_sort(F.collect_list(n).over(Window.partitionBy(by)))
-    return -F.abs(F.ln(F.col(n) / F.element_at(sizes, (F.floor(F.size(sizes) / 2) + 1).cast("int"))))
+    median = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{n}` DESC) OVER (PARTITION BY `{by}`)")
+    return -F.abs(F.ln(F.col(n) / median))
 
 
 def pick(df: DataFrame, by: str, score: Column, order: str, columns: list[str]) -> DataFrame:

@@ -6,23 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators.similarity import best_of
 
 
-def postings(claims: DataFrame, column: str = "text") -> DataFrame:
-    """token, id: one row per occurrence."""
-    return claims.select("id", F.explode(F.regexp_extract_all(F.lower(column), F.lit("([a-z]{3,})"), F.lit(1))).alias("token"))
+def postings(claims: DataFrame, *more: str, column: str = "text") -> DataFrame:
+    """id, more columns, token: one row per occurrence."""
+    return claims.select("id", *more, F.explode(F.regexp_extract_all(F.lower(column), F.lit("([a-z]{3,})"), F.lit(1))).alias("token"))
 
 
 def search(claims: DataFrame, queries: DataFrame, k: int = 8, domain_bonus: float = 1.5) -> DataFrame:
     """query, place, id, score: one point per posting of each different query token, a bonus for the domain; the k best,
     of equals the smallest id. claims: id, domain, text; queries: query, domain, text."""
-    wanted = queries.select("query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))).alias("token"))
-    hits = postings(claims).join(wanted, "token").groupBy("query", "id").agg(F.count("*").cast("double").alias("score"))
-    domain = claims.select("id", "domain").join(queries.select("query", "domain"), "domain").select("query", "id", F.lit(domain_bonus).alias("score"))
-    scored = hits.unionByName(domain).groupBy("query", "id").agg(F.sum("score").alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "id"))), 1, k)
-    top = scored.groupBy("query").agg(best.alias("b")).select("query", F.posexplode("b").alias("place", "x"))
-    return top.select("query", "place", F.col("x.id").alias("id"), (-F.col("x.m")).alias("score"))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1)))
+    wanted = queries.select("query", F.col("domain").alias("asked"), F.explode(tokens).alias("token"))
+    bonus = F.max(F.when(F.col("domain") == F.col("asked"), domain_bonus).otherwise(0.0))
+    hits = postings(claims, "domain").join(wanted, "token").groupBy("query", "id").agg((F.count("*") + bonus).alias("score"))
+    # of the claims with the bonus alone, only the k smallest ids of a domain can be among the k best
+    few = best_of(claims.select("domain", "id").filter(F.col("domain").isNotNull()), ["domain"], [F.col("id")], k).select("domain", "id")
+    bare = queries.select("query", "domain").join(few, "domain").select("query", "id", F.lit(domain_bonus).alias("score"))
+    scored = hits.unionByName(bare).groupBy("query", "id").agg(F.max("score").alias("score"))
+    top = best_of(scored, ["query"], [F.desc("score"), F.col("id")], k)
+    return top.select("query", (F.col("place") - 1).alias("place"), "id", "score")
 
 
 def keyword_route(df: DataFrame, text: str, rules: list[tuple[str, str]], default: str) -> Column:

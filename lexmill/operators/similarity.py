@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 
 
+def best_of(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "place") -> DataFrame:
+    """The k first rows of each group with their place from 1. The limit is applied before the shuffle too, so a group
+    is never larger than k rows per task."""
+    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.filter(F.col(name) <= k)
+
+
 def prefix_pairs(left: DataFrame, right: DataFrame, prefix: int) -> DataFrame:
     """a, b with equal first characters. left has a, right has b; distinct before the join."""
     x = left.select("a").distinct().withColumn("block", F.left("a", F.lit(prefix)))
@@ -34,8 +41,8 @@ def band_pairs(left: DataFrame, right: DataFrame, band: int = 3, least: float =
 
 def top_donors(pairs: DataFrame, k: int = 5) -> DataFrame:
     """The k most similar b of each a, as an array of struct(similarity, b), best first."""
-    best = F.slice(F.sort_array(F.collect_list(F.struct("similarity", "b")), asc=False), 1, k)
-    return pairs.groupBy("a").agg(best.alias("top"))
+    best = best_of(pairs, ["a"], [F.desc("similarity"), F.desc("b")], k)
+    return best.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("similarity", "b")), asc=False).alias("top"))
 
 
 def gram_vectors(forms: DataFrame, n: int = 3) -> DataFrame:
@@ -45,14 +52,18 @@ def gram_vectors(forms: DataFrame, n: int = 3) -> DataFrame:
     return counted.join(norms, "form")
 
 
-def gram_neighbours(left: DataFrame, right: DataFrame, n: int = 3, prefix: int = 2, least: float = 0.2, k: int = 12) -> DataFrame:
-    """form, other, cosine of n-gram counts within a block of equal first characters, the k nearest of each."""
+def gram_pairs(left: DataFrame, right: DataFrame, n: int = 3, prefix: int = 2, least: float = 0.2) -> DataFrame:
+    """form, other, cosine of n-gram counts within a block of equal first characters."""
     x = gram_vectors(left, n).withColumn("block", F.left("form", F.lit(prefix)))
     y = gram_vectors(right, n).select(F.col("form").alias("other"), "gram", F.col("tf").alias("tf2"), F.col("norm").alias("norm2"), F.left("form", F.lit(prefix)).alias("block"))
     dots = x.join(y, ["block", "gram"]).filter("form <> other").groupBy("form", "other").agg(F.sum(F.col("tf") * F.col("tf2")).alias("dot"), F.max("norm").alias("n1"), F.max("norm2").alias("n2"))
-    scored = dots.select("form", "other", (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("cosine")).filter(F.col("cosine") >= least)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("cosine", "other")), asc=False), 1, k)
-    return scored.groupBy("form").agg(best.alias("near"))
+    return dots.select("form", "other", (F.col("dot") / (F.col("n1") * F.col("n2"))).alias("cosine")).filter(F.col("cosine") >= least)
+
+
+def gram_neighbours(left: DataFrame, right: DataFrame, n: int = 3, prefix: int = 2, least: float = 0.2, k: int = 12) -> DataFrame:
+    """form, near: the k nearest of gram_pairs() as an array of struct(cosine, other), best first."""
+    best = best_of(gram_pairs(left, right, n, prefix, least), ["form"], [F.desc("cosine"), F.desc("other")], k)
+    return best.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("cosine", "other")), asc=False).alias("near"))
 
 
 def cosine(a, b):

@@ -24,7 +24,7 @@ SELECT kind, count(*) AS n FROM (
   UNION SELECT DISTINCT 'edge:expresses', lang, form, sense FROM {SQL_BINDINGS} UNION SELECT DISTINCT 'edge:realized_as', sense, lang, form FROM {SQL_BINDINGS} UNION SELECT DISTINCT 'edge:in_language', lang, form, '' FROM {SQL_BINDINGS}) GROUP BY kind""")
 def graph_build(spark: Session, sf: str) -> DataFrame:
     """Nodes and unique edges, written and read again."""
-    nodes, edges = graph.build(bindings(spark))
+    nodes, edges = graph.build(bindings(spark, sf))
     path = shared_path(spark, "graph")
     sinks.write_graph(nodes, edges, path)
     nodes, edges = sinks.read_graph(spark, path)
@@ -35,14 +35,14 @@ def graph_build(spark: Session, sf: str) -> DataFrame:
 @query("hub_neighbourhood", f"SELECT sense, lang, list(form ORDER BY o) AS forms FROM (SELECT sense, lang, form, min(ord) AS o FROM {SQL_BINDINGS} GROUP BY ALL) GROUP BY sense, lang")
 def hub_neighbourhood(spark: Session, sf: str) -> DataFrame:
     """G2."""
-    return graph.neighbourhood(bindings(spark))
+    return graph.neighbourhood(bindings(spark, sf))
 
 
 @query("note_export", f"SELECT sense, count(*) AS lines FROM (SELECT DISTINCT sense, lang, form FROM {SQL_BINDINGS}) GROUP BY sense")
 def note_export(spark: Session, sf: str) -> DataFrame:
     """One Markdown text per sense, read back and counted."""
     path = shared_path(spark, "notes")
-    sinks.export_notes(bindings(spark), path)
+    sinks.export_notes(bindings(spark, sf), path)
     notes = spark.read.text(path)
     return notes.filter(F.col("value").startswith("- ")).groupBy("sense").agg(F.count("*").alias("lines"))
 
@@ -105,15 +105,10 @@ def stem_install(spark: Session, sf: str) -> DataFrame:
 
 @query("greedy_phrase_decode")
 def greedy_phrase_decode(spark: Session, sf: str) -> DataFrame:
-    """Greedy decoding with a phrase table learnt from adjacent turns; the table's size is checked before it is
-    sent to the workers."""
+    """Greedy decoding with a phrase table learnt from adjacent turns."""
     best = corpus.top_translation(corpus.cooccurrence(_turns(spark, sf), "hyp", "ref"))
-    most = 200_000
-    rows = best.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("the phrase table is too large to be sent to every worker")
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return corpus.decode(c, {r["s"]: r["t"] for r in rows})
+    c = table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("id"), "text")
+    return corpus.decode(c, best).select("id.conv_id", "id.turn", "out")
 
 
 @query("pair_install", f"""

@@ -51,33 +51,41 @@ def lookup_cascade_scores(spark: Session, sf: str) -> DataFrame:
     return lookup.cascade(toks, [("exact", s, F.col("token"), 1.0), ("stem", s, F.regexp_replace("token", "ing$", ""), 0.86)])
 
 
-BINDINGS = [
-    ("water", "la", "aqua", 1), ("water", "de", "wasser", 2), ("water", "en", "water", 3), ("hand", "la", "manus", 4), ("hand", "en", "hand", 5), ("cat", "de", "katze", 6),
-    ("cell", "de", "zelle", 7), ("cell", "en", "cell", 8), ("monk", "en", "cell", 9), ("hand", "fr", "main", 10), ("principal", "en", "main", 11),
-]
-SQL_BINDINGS = Q.values(BINDINGS, "sense, lang, form, ord")
+SQL_BINDINGS = (
+    "(SELECT lower(p_type) AS sense, CASE right(p_brand, 1) WHEN '1' THEN 'de' WHEN '2' THEN 'en' WHEN '3' THEN 'la' ELSE 'fr' END AS lang, p_name AS form, p_partkey AS ord FROM part)"
+)
+
+
+def bindings(spark: Session, sf: str) -> DataFrame:
+    """sense, lang, form, ord: every part binds its name, in the language of its brand, to its type."""
+    last = F.right("p_brand", F.lit(1))
+    lang = F.when(last == "1", "de").when(last == "2", "en").when(last == "3", "la").otherwise("fr")
+    return table(spark, sf, "part").select(F.lower("p_type").alias("sense"), lang.alias("lang"), F.col("p_name").alias("form"), F.col("p_partkey").alias("ord"))
 
 
-def bindings(spark: Session) -> DataFrame:
-    return spark.sql("SELECT * FROM " + SQL_BINDINGS)
+#: Forms in their own languages, in one that has none, and forms that nothing binds.
+SQL_ASKED = f"(SELECT DISTINCT lang, form FROM {SQL_BINDINGS} UNION SELECT DISTINCT 'grc', p_name FROM part UNION SELECT DISTINCT 'de', p_brand FROM part)"
 
 
-ASKED = [("la", "aqua"), ("de", "aqua"), ("en", "cell"), ("en", "main"), ("la", "main"), ("fr", "nothing")]
+def asked(spark: Session, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    own = bindings(spark, sf).select("lang", "form")
+    return own.union(p.select(F.lit("grc"), "p_name")).union(p.select(F.lit("de"), "p_brand")).distinct()
 
 
 @query("sense_lookup", f"""
 SELECT a.lang, a.form, coalesce(e.sense, g.sense) AS sense, CASE WHEN e.sense IS NOT NULL THEN 1.0 WHEN g.sense IS NOT NULL THEN 0.95 ELSE 0.0 END::DOUBLE AS confidence
-FROM {Q.values(ASKED, 'lang, form').replace(' t(', ' a(')} LEFT JOIN (SELECT lang, form, arg_min(sense, ord) AS sense FROM {SQL_BINDINGS} GROUP BY lang, form) e ON e.lang = a.lang AND e.form = a.form
+FROM {SQL_ASKED} a LEFT JOIN (SELECT lang, form, arg_min(sense, ord) AS sense FROM {SQL_BINDINGS} GROUP BY lang, form) e ON e.lang = a.lang AND e.form = a.form
 LEFT JOIN (SELECT form, arg_min(sense, ord) AS sense FROM {SQL_BINDINGS} GROUP BY form) g ON g.form = a.form""")
 def sense_lookup(spark: Session, sf: str) -> DataFrame:
     """J3."""
-    return lookup.sense_of(spark.sql("SELECT * FROM " + Q.values(ASKED, "lang, form")), bindings(spark))
+    return lookup.sense_of(asked(spark, sf), bindings(spark, sf))
 
 
 @query("sense_render", f"SELECT sense, arg_min(form, (CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, ord)) AS form, arg_min(lang, (CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, ord)) AS lang FROM {SQL_BINDINGS} GROUP BY sense")
 def sense_render(spark: Session, sf: str) -> DataFrame:
     """J4."""
-    b = bindings(spark)
+    b = bindings(spark, sf)
     return lookup.render(b.select("sense").distinct(), b, "de")
 
 
@@ -209,13 +217,24 @@ def ledger_inverted_search(spark: Session, sf: str) -> DataFrame:
     return retrieve.search(claims, queries)
 
 
-@query("two_hop_concepts", f"SELECT token, en, score FROM {Q.values([('aqua', 'water', 0.96), ('θεος', 'god', 0.88), ('λόγος', None, None)], 'token, en, score')}")
+LATIN, GREEK = "abgdeiklmnoprst", "αβγδεικλμνοπρστ"
+
+
+@query("two_hop_concepts", f"""
+WITH f AS (SELECT replace(form, ' ', '') AS form, min(ord) AS concept, lang FROM {SQL_BINDINGS} WHERE lang IN ('la', 'de') GROUP BY ALL),
+best AS (SELECT form, arg_min(concept, CASE lang WHEN 'la' THEN 1 ELSE 2 END) AS concept FROM f GROUP BY form),
+known AS (SELECT form, n_name AS en FROM best JOIN part ON p_partkey = concept JOIN nation ON n_nationkey = p_size),
+t AS (SELECT replace(p_name, ' ', '') AS token FROM part UNION SELECT translate(replace(p_name, ' ', ''), '{LATIN}', '{GREEK}') FROM part UNION SELECT lower(p_brand) FROM part)
+SELECT token, coalesce(a.en, b.en) AS en, CASE WHEN a.en IS NOT NULL THEN 0.96 WHEN b.en IS NOT NULL THEN 0.88 END::DOUBLE AS score
+FROM t LEFT JOIN known a ON a.form = token LEFT JOIN known b ON b.form = translate(token, '{GREEK}', '{LATIN}')""")
 def two_hop_concepts(spark: Session, sf: str) -> DataFrame:
-    """Form to concept to English, directly or by Latin letters."""
-    forms = spark.createDataFrame([("la", "aqua", 1), ("grc", "aqua", 2), ("la", "theos", 3)], "lang string, form string, concept int")
-    concepts = spark.createDataFrame([(1, "water"), (2, "wrong"), (3, "god")], "concept int, en string")
-    toks = spark.createDataFrame([("aqua",), ("θεος",), ("λόγος",)], "token string")
-    return lookup.two_hops(toks, forms, concepts, ["la", "grc"])
+    """Form to concept to English, directly or by Latin letters: parts to the nations of their sizes."""
+    p, n = table(spark, sf, "part"), table(spark, sf, "nation")
+    joined = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    forms = bindings(spark, sf).withColumn("form", joined("form")).groupBy("lang", "form").agg(F.min("ord").alias("concept"))
+    concepts = p.join(n, F.col("p_size") == F.col("n_nationkey")).select(F.col("p_partkey").alias("concept"), F.col("n_name").alias("en"))
+    toks = p.select(F.explode(F.array(joined("p_name"), F.translate(joined("p_name"), LATIN, GREEK), F.lower("p_brand"))).alias("token")).distinct()
+    return lookup.two_hops(toks, forms, concepts, ["la", "de"])
 
 
 @query("prefix_theta_join", f"SELECT a.form AS a, b.form AS b FROM {SQL_NAMES} a JOIN {SQL_NAMES} b ON left(a.form, 3) = left(b.form, 3) AND a.form <> b.form AND starts_with(b.form, a.form)")
@@ -253,8 +272,7 @@ SELECT d.form, d.other, round(dot / (x.norm * y.norm), 9) AS cosine FROM d JOIN
 def gram_cosine_neighbours(spark: Session, sf: str) -> DataFrame:
     """Cosine of character trigrams by a join on the gram."""
     n = names(spark, sf)
-    near = similarity.gram_neighbours(n, n, prefix=1, k=10_000)
-    return near.select("form", F.explode("near").alias("x")).select("form", F.col("x.other").alias("other"), F.round("x.cosine", 9).alias("cosine"))
+    return similarity.gram_pairs(n, n, prefix=1).select("form", "other", F.round("cosine", 9).alias("cosine"))
 
 
 @query("gazetteer_cascade", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 8000 THEN 'exact' END, n_name, c_name) AS title, CASE WHEN c_acctbal > 8000 THEN 0.98 WHEN n_name IS NOT NULL THEN 0.95 ELSE 0.8 END::DOUBLE AS score FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
@@ -493,7 +511,7 @@ def entropy_concentration(spark: Session, sf: str) -> DataFrame:
 @query("binding_coverage", f"SELECT sense, count(DISTINCT lang) AS n_langs, 4 - count(DISTINCT lang) AS missing, count(DISTINCT lang) < 2 AS under_min FROM {SQL_BINDINGS} GROUP BY sense")
 def binding_coverage(spark: Session, sf: str) -> DataFrame:
     """A18."""
-    return graph.coverage(bindings(spark), 4, 2)
+    return graph.coverage(bindings(spark, sf), 4, 2)
 
 
 @query("approximate_counts")
@@ -545,8 +563,7 @@ def zipf_weights(spark: Session, sf: str) -> DataFrame:
 def first_and_last_wins(spark: Session, sf: str) -> DataFrame:
     """W7."""
     p = table(spark, sf, "part").select("p_type", "p_name", F.col("p_partkey").alias("ord"))
-    a = pick_by_order(p, ["p_type"]).select("p_type", F.col("p_name").alias("first"))
-    return a.join(pick_by_order(p, ["p_type"], last=True).select("p_type", F.col("p_name").alias("last")), "p_type")
+    return p.groupBy("p_type").agg(F.min_by("p_name", "ord").alias("first"), F.max_by("p_name", "ord").alias("last"))
 
 
 @query("running_best_plateau", "SELECT conv_id, turn, best::INT AS best, turn - max(CASE WHEN n > coalesce(before, -1) THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn) AS since FROM (SELECT conv_id, turn, length(text) AS n, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS best, max(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM conversations)")

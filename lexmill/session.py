@@ -8,6 +8,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,27 +67,55 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df as a table written to the shared folder: its lineage is cut, it is computed once, a lost executor costs
     nothing, and later plans start without the constraints and sizes guessed for the old one."""
+    return _cut(df, _scope.get())
+
+
+def _cut(df: DataFrame, owner: list[tuple[SparkSession, str]]) -> DataFrame:
     spark = df.sparkSession
-    path = shared_path(spark, "cut")
+    path = _new_path(spark, "cut")
+    owner.append((spark, path))
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: list[tuple[SparkSession, str]] = []
+#: The list of what is written now; each thread starts with the common one.
+_scope: ContextVar[list[tuple[SparkSession, str]]] = ContextVar("_scope", default=_written)
 
 
-@atexit.register
-def release() -> None:
-    """Deletes the tables that cut() has written; what was made of them must be consumed by then."""
-    while _written:
-        spark, path = _written.pop()
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut() writes inside is deleted at the end; what is yielded is a cut() whose table stays."""
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+    try:
+        yield lambda df: _cut(df, outer)
+    finally:
+        _scope.reset(token)
+        _delete(own)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    while tables:
+        spark, path = tables.pop()
         with contextlib.suppress(Exception):  # the session may be gone
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a written table."""
+@atexit.register
+def release() -> None:
+    """Deletes all that was written below the shared folder; what was made of it must be consumed by then."""
+    _delete(_written)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexmill/{name}-{uuid.uuid4().hex}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, deleted as cut()'s tables are."""
+    path = _new_path(spark, name)
+    _scope.get().append((spark, path))
+    return path
