@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontamination, language_id, line_dedup, minhash_dedup, mixing
-from lexmill.session import cut
+from lexmill.session import scratch
 
 #: Estimated similarity of a near copy whose lines the line stage leaves to the next one. The estimate's standard
 #: deviation is 0.035 at the next stage's 0.8, so this is below all but about one in 400 of what that would link.
@@ -53,7 +53,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The first stage is a trained network, which SQL can't express; tests hold run() against its stages called one by one.
+#: The first stage is a trained network, which SQL can't express; tests hold run() to plain Python on planted copies, passages and junk.
 ORACLE_SQL = None
 
 
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch() as kept:
+            docs = kept(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

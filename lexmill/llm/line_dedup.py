@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import SPACE_RUN, ascii_lower, fresh, pick, space_words
-from lexmill.session import cut, table
+from lexmill.session import cut, scratch, table
 
 DEPTH = 3
 SPLITS = 2
@@ -139,10 +139,10 @@ def _leaf_members(docs: DataFrame, lines: DataFrame, broadcast_rows: int) -> Dat
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key, sketch: the smallest hashes of a document's shingles."""
+    """doc_id, key, sketch: the smallest of the hashes (halves of them) of a document's shingles."""
     words = docs.select("doc_id", "key", space_words(ascii_lower(F.col("text"))).alias("w"))
     last = F.greatest(F.size("w") - SHINGLE, F.lit(0))
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.shiftright(F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]), 32).cast("int"))
     return words.select("doc_id", "key", F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH).alias("sketch"))
 
 
@@ -153,7 +153,9 @@ def _near_copies(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFr
     wanted = pairs.select("doc_id", "key").union(theirs).distinct().toDF("d", "k")
     on = lambda a, x, b, y: F.col(a).eqNullSafe(F.col(b)) & (F.col(x) == F.col(y))
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    sketches = cut(_sketches(keyed.join(wanted, on("doc_id", "key", "d", "k"), "left_semi").dropDuplicates(["doc_id", "key"])))
+    # sketches are made in the scan and are what is shuffled, as texts are much larger; equal rows have equal ones
+    sketches = _sketches(keyed).join(wanted, on("doc_id", "key", "d", "k"), "left_semi").groupBy("doc_id", "key").agg(F.first("sketch").alias("sketch"))
+    sketches = cut(sketches)
     left = cut(pairs.join(sketches.toDF("d", "k", "mine"), on("doc_id", "key", "d", "k")).drop("d", "k"))
     both = left.join(sketches.toDF("d", "k", "other"), on("of_id", "of_key", "d", "k"))
     low = F.slice(F.sort_array(F.array_union("mine", "other")), 1, SKETCH)
@@ -204,7 +206,8 @@ def _spared(docs: DataFrame, gone: DataFrame, similarity: float) -> DataFrame:
 def deduplicated(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     """docs with its text column without the dropped lines, and the name of an added column with their number."""
     lid, lkey, drop, parts, name = (fresh(docs, stem) for stem in ("lid", "lkey", "ldrop", "lparts", "dropped"))
-    drops = cut(dropped_lines(docs, **options)).toDF(lid, lkey, drop)
+    with scratch() as kept:
+        drops = kept(dropped_lines(docs, **options)).toDF(lid, lkey, drop)
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(lid)) & (F.xxhash64("text") == F.col(lkey)), "left")
     # the lines are a column of their own, so that the lambda below doesn't split the text for each of them
     joined = joined.withColumn(parts, F.when(F.col(drop).isNotNull(), F.split("text", "\n", -1)))
