@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import fresh, pick, space_words
-from lexmill.session import cut, table
+from lexmill.session import cut, scratch, table
 from lexmill.sources.readers import number_rows
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -136,16 +136,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
 
 
 def _planned(sized: DataFrame, kind: str, weights: tuple[float, ...], total: float, most: int) -> DataFrame:
-    cells = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
-    sources = cells.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"), squares.alias("squares"))
-    wanted = cut(targets(sources, weights, total, most).withColumn("scale", F.greatest(F.col("squares") / F.greatest("source_size", F.lit(1)), F.lit(1.0))).drop("squares"))
+    with scratch() as kept:
+        plan = kept(_tilted(sized, weights, total, most))
     by_source = F.col("source").eqNullSafe(F.col("name"))
-    named = wanted.withColumnRenamed("source", "name")
-    weighed = cells.withColumnRenamed("n", "c").join(named, by_source).select("s", (F.col("size") / F.col("scale")).alias("z"), (F.col("c") * F.col("size")).alias("words"))
-    tilt = tilts(cut(weighed.filter("words > 0")), wanted, most)
-    plan = cut(named.join(tilt, "s", "left").withColumn("tilt", F.coalesce("tilt", F.lit(0.0))))
-
     entries = sized.groupBy("entry").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("m"))
     entries = entries.join(plan.select("name", "s", "n", "tilt", "scale"), by_source)
     chunks = entries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / CHUNK))))
@@ -168,6 +161,19 @@ def _planned(sized: DataFrame, kind: str, weights: tuple[float, ...], total: flo
     )
 
 
+def _tilted(sized: DataFrame, weights: tuple[float, ...], total: float, most: int) -> DataFrame:
+    """name (of the source), s, n, source_size, target, scale, tilt: one row per source."""
+    cells = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
+    squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
+    sources = cells.groupBy("source").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("size")).alias("source_size"), squares.alias("squares"))
+    wanted = cut(targets(sources, weights, total, most).withColumn("scale", F.greatest(F.col("squares") / F.greatest("source_size", F.lit(1)), F.lit(1.0))).drop("squares"))
+    by_source = F.col("source").eqNullSafe(F.col("name"))
+    named = wanted.withColumnRenamed("source", "name")
+    weighed = cells.withColumnRenamed("n", "c").join(named, by_source).select("s", (F.col("size") / F.col("scale")).alias("z"), (F.col("c") * F.col("size")).alias("words"))
+    tilt = tilts(cut(weighed.filter("words > 0")), wanted, most)
+    return named.join(tilt, "s", "left").withColumn("tilt", F.coalesce("tilt", F.lit(0.0)))
+
+
 def source_mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies, rate."""
     return mixed(docs, **options).select(
@@ -191,7 +197,7 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total:
     own = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # written, so the numbers hold
     name = name if name.lower() not in {c.lower() for c in docs.columns} else fresh(docs, name)
     sized = cut(sizes_of(own, row=row))
-    plan = cut(_planned(sized.drop("row"), dict(sized.dtypes)["doc_id"], weights, total, most).filter("copies > 0").select("entry", "number", "copies"))
+    plan = _planned(sized.drop("row"), dict(sized.dtypes)["doc_id"], weights, total, most).filter("copies > 0").select("entry", "number", "copies")
     known = sized.groupBy("entry").agg(F.count("*").alias("m"), F.min("row").alias("row"))
     single = known.filter("m = 1").select("row", "entry", F.lit(0).cast("long").alias("number"))
     several = known.filter("m > 1").select("entry")
