@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import alnum_words, fresh, pick
-from lexmill.session import cut, table
+from lexmill.session import cut, scratch, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -173,9 +173,10 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **options) -> DataFrame:
     """The documents with all their columns, without those of which more than max_share of the words is hit."""
-    hit = contaminated_words(docs, benchmark, **options).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * max_share))
     bad_id, bad_key = fresh(docs, "bad_id"), fresh(docs, "bad_key")
-    bad = hit.select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct()
+    with scratch() as kept:
+        hit = contaminated_words(docs, benchmark, **options).filter((F.col("n_hit") > 0) & (F.col("n_hit") > F.col("n_words") * max_share))
+        bad = kept(hit.select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_key)), "left_anti")
 
 

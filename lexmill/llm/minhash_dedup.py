@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import fresh, pick
-from lexmill.session import cut, table
+from lexmill.session import cut, scratch, table
 
 WORDS = 2
 PERCENT = 80
@@ -156,7 +156,12 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
     """node, label: the smallest `ord` that a node reaches over edges (u, v). nodes has node, ord.
 
     Each round takes the smallest label among the neighbours, then the label's own label (pointer jumping), so
-    the number of rounds grows with the logarithm of a component's diameter."""
+    the number of rounds grows with the logarithm of a component's diameter. Tables of past rounds are deleted."""
+    with scratch() as kept:
+        return kept(_settled(nodes, edges, max_rounds))
+
+
+def _settled(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     both = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other"))).distinct())
     touched = both.select("node").distinct()
     labels = cut(nodes.join(touched, "node", "left_semi").select("node", F.struct("ord", F.col("node").alias("id")).alias("label")))
@@ -310,17 +315,18 @@ def keep_one_of_each(
 ) -> DataFrame:
     """The documents with all their columns, one of each component: the one with the smallest id, of rows with
     the same id the one with the smallest hash. Documents without words all stay."""
-    found = cut(_classified(docs, words, percent, subkeys, hashes).select("doc_id", "key", "group"))
+    with scratch() as kept:
+        found = kept(_classified(docs, words, percent, subkeys, hashes).select("doc_id", "key", "group"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     chosen = found.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(order).alias("o"))
     key, own_id, own_key = fresh(docs, "text_key"), fresh(docs, "own_id"), fresh(docs, "own_key")
     stay = chosen.select(F.col("o.doc_id").alias(own_id), F.col("o.key").alias(own_key))
     stay = stay.union(found.filter(F.col("group").isNull()).select("doc_id", "key").distinct())
-    kept = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_semi")
+    rows = docs.withColumn(key, F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_semi")
     twice = found.filter(F.col("group").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("k")).filter("k > 1").limit(1).count()
     if twice:  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", key])
-    return kept.drop(key)
+        rows = rows.dropDuplicates(["doc_id", key])
+    return rows.drop(key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
