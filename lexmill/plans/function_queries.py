@@ -156,7 +156,8 @@ def longest_match_tokens(spark: Session, sf: str) -> DataFrame:
     from lexmill.operators.corpus import decode
 
     lexicon = {"the": "THE", "of the": "OF_THE", "and": "AND", "and of the": "AND_OF_THE"}
-    return decode(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), lexicon, 3).select("id", F.length("out").alias("n"))
+    phrases = spark.createDataFrame(list(lexicon.items()), "s string, t string")
+    return decode(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), phrases, 3).select("id", F.length("out").alias("n"))
 
 
 def _turns(spark: Session, sf: str) -> DataFrame:
