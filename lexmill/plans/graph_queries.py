@@ -230,6 +230,31 @@ def event_windows(spark: Session, sf: str) -> DataFrame:
     return w.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("sliding_windows", """
+WITH b AS (SELECT epoch(time_bucket(INTERVAL '15 minutes', ts))::BIGINT AS b, event_type, value FROM events),
+w AS (SELECT unnest([b, b - 900, b - 1800, b - 2700]) AS start, event_type, value FROM b)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+def sliding_windows(spark: Session, sf: str) -> DataFrame:
+    """Windows of an hour that start every 15 minutes."""
+    e = table(spark, sf, "events").groupBy(F.window("ts", "1 hour", "15 minutes").alias("w"), "event_type")
+    return e.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_timestamp("w.start").alias("start"), "event_type", "n", "total")
+
+
+@query("cube_of_flags", "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_of_flags(spark: Session, sf: str) -> DataFrame:
+    """Every combination of two keys."""
+    c = table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus")
+    return c.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("grouping_sets_of_flags", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def grouping_sets_of_flags(spark: Session, sf: str) -> DataFrame:
+    """Chosen combinations in one pass."""
+    li = table(spark, sf, "lineitem")
+    sets = li.groupingSets([["l_returnflag", "l_linestatus"], ["l_linenumber"], []], "l_returnflag", "l_linestatus", "l_linenumber")
+    return sets.agg(F.count("*").alias("n"))
+
+
 @query("session_windows", """
 WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
