@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import parts
 from lexmill.llm.common import hash_share, pick
 from lexmill.session import table
 
 HIDDEN = 12
 SEGMENT = 128
-BLOCK = 2048
+BLOCK = 1024
 PER_LANG = 400
 MAX_LANGS = 500
 EXCERPT = 400
@@ -228,20 +229,22 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, excerpt: int = EXCERPT, max_l
     return train(list(sample["t"]), list(sample["lang"]), sorted(counts))
 
 
+def _judged(net: BiGru, texts: pa.Array, has: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language and score of each text; texts without letters (has) are undetermined."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"\0", np.uint8) if len(texts) and offsets[-1] > 0 else np.zeros(1, np.uint8)
+    p = pooled(net, data, offsets[:-1], np.where(has, np.diff(offsets), 0))
+    named = [net.classes[b] if ok else UNDETERMINED for b, ok in zip(p.argmax(axis=1), has, strict=True)]
+    return named, np.where(has, np.clip(p.max(axis=1), 0, 1), 0.0)
+
+
 def _predictor(net: BiGru):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").cast(pa.large_string())
-            has = np.array(batch.column("letters").to_pylist(), bool)
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-            data = np.frombuffer(texts.buffers()[2] or b"\0", np.uint8) if len(texts) and offsets[-1] > 0 else np.zeros(1, np.uint8)
-            lengths = np.where(has, np.diff(offsets), 0)
-            p = pooled(net, data, offsets[:-1], lengths)
-            best = p.argmax(axis=1)
-            score = np.where(has, np.clip(p.max(axis=1), 0, 1), 0.0)
-            named = [net.classes[b] if ok else UNDETERMINED for b, ok in zip(best, has, strict=True)]
+        for part in parts(batches, "text"):
+            named, score = _judged(net, part.column("text"), np.array(part.column("letters").to_pylist(), bool))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(named, pa.string()), pa.array(score, pa.float64())],
+                [part.column("doc_id"), part.column("held_out"), pa.array(named, pa.string()), pa.array(score, pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
@@ -271,15 +274,11 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, **options) -> DataF
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = _predictor(net)
-        for batch in batches:
-            texts = batch.column("text")
-            filled = pa.array(["" if t is None else t for t in texts.to_pylist()], pa.string())
-            letters = pa.array([any(map(str.isalpha, t)) for t in filled.to_pylist()], pa.bool_())
-            own = pa.RecordBatch.from_arrays([batch.column("doc_id"), letters, filled, letters], names=["doc_id", "held_out", "text", "letters"])
-            found = next(judge(iter([own])))
-            keep = [lang != UNDETERMINED and score >= min_score for lang, score in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for part in parts(batches, "text"):
+            texts = ["" if t is None else t for t in part.column("text").to_pylist()]
+            has = np.array([any(map(str.isalpha, t)) for t in texts], bool)
+            named, score = _judged(net, pa.array(texts, pa.string()), has)
+            yield part.filter(pa.array([lang != UNDETERMINED and s >= min_score for lang, s in zip(named, score, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
