@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.batches import parts
 from lexmill.llm.common import fresh, pick
 from lexmill.session import cut, scratch, table
 
@@ -42,7 +44,7 @@ BLOCK = 1024
 SKETCH_FLOOR = 0.42
 SEED = 20_240_607
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -121,33 +123,33 @@ def _signatures(k: int, m: int, r: int):
             at = end
         return out, packed
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.view(np.int64).reshape(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
-            sets = [shingle_hashes(t, k, hashes) for t in batch["text"]]
-            keys, bits = (x.view(np.int64) for x in sketch(sets))
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "key": batch["key"],
-                "n_shingles": np.array([len(s) for s in sets], np.int64),
-                "cid": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "sub": list(keys),
-                "bits": list(bits),
-            })
+        for part in parts(batches, "text"):
+            sets = [shingle_hashes(t.as_py(), k, hashes) for t in part.column("text")]
+            keys, bits = sketch(sets)
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists(keys), lists(bits)],
+                names=["doc_id", "key", "n_shingles", "cid", "sub", "bits"],
+            )
 
     return run
 
 
 def _confirm(k: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, set()
-        for batch in batches:
+        for part in parts(batches, "text_u", "text_v"):
             good = []
-            for u, a, b in zip(batch["u"], batch["text_u"], batch["text_v"], strict=True):
+            for u, a, b in zip(part.column("u"), part.column("text_u"), part.column("text_v"), strict=True):
                 if u != last:
-                    last, left = u, shingles_of(a, k)
-                good.append(similar(left, shingles_of(b, k), percent))
-            yield batch.loc[np.array(good, bool), ["u", "v"]]
+                    last, left = u, shingles_of(a.as_py(), k)
+                good.append(similar(left, shingles_of(b.as_py(), k), percent))
+            yield part.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -227,7 +229,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
     docs = pick(docs, doc_id="doc_id", text="text")
     kind = dict(docs.dtypes)["doc_id"]
     keyed = docs.withColumn("key", F.xxhash64("text"))
-    sketched = cut(keyed.mapInPandas(_signatures(words, subkeys, hashes), f"doc_id {kind}, key long, n_shingles long, cid binary, sub array<long>, bits array<long>"))
+    sketched = cut(keyed.mapInArrow(_signatures(words, subkeys, hashes), f"doc_id {kind}, key long, n_shingles long, cid binary, sub array<long>, bits array<long>"))
     classes = cut(
         sketched.filter(F.col("cid").isNotNull())
         .groupBy("cid")
@@ -278,7 +280,7 @@ def _classified(docs: DataFrame, words: int, percent: int, subkeys: int, hashes:
     first = stars.filter("likely").groupBy("v").agg(F.max_by("u", F.struct("met", "u")).alias("u"))
     joined = first.hint("merge").join(texts.select(F.col("c").alias("v"), F.col("text").alias("text_v")), "v")
     joined = joined.hint("merge").join(texts.select(F.col("c").alias("u"), F.col("text").alias("text_u")), "u")
-    links = cut(joined.select("u", "v", "text_u", "text_v").mapInPandas(_confirm(words, percent), f"u {c_kind}, v {c_kind}"))
+    links = cut(joined.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(words, percent), f"u {c_kind}, v {c_kind}"))
     labels = components(nodes, links)
 
     # families that are still in several components
