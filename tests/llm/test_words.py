@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from lexmill.llm.batches import parts
 from tests.llm.corpus import corpus, edges, frame, sentence, tables
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -348,3 +350,13 @@ def test_sql_twins(spark, tmp_path):
         columns = [d[0] for d in want.description]
         assert sorted(columns) == sorted(got.columns), name
         assert rows_of(got, *columns) == sorted(want.fetchall(), key=repr), name
+
+
+def test_parts_are_bounded_by_bytes():
+    texts = ["ab", None, "", "x" * 50, "ééé", "abc", "y" * 9, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(["z"] * len(texts))], names=["id", "a", "b"])
+    found = list(parts(iter([batch, batch.slice(2, 3), batch.slice(0, 0)]), "a", "b", size=12))
+    assert [i for p in found for i in p.column("id").to_pylist()] == [*range(8), 2, 3, 4]
+    size = lambda p: sum(len((t or "").encode()) for c in "ab" for t in p.column(c).to_pylist())
+    assert all(size(p) <= 12 or p.num_rows == 1 for p in found)
+    assert [p.num_rows for p in found] == [3, 1, 2, 2, 1, 1, 1]
