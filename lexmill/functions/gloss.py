@@ -31,6 +31,7 @@ SHELLS = (
     "narrative_flow heritage_flow generic_dynamics fluid_resonance primordial_signal unknown inflection inflections "
     "grammar grammatical form word lemma stem root ending suffix prefix"
 ).split()
+# Texts anywhere in a gloss that make it garbage.
 GRAMMAR_TEXT = (
     "dative|genitive|accusative|nominative|vocative|ablative|singular of|plural of|participle of|imperative of|"
     "the compound|compound of|with genitive|with dative"
@@ -97,8 +98,12 @@ def gloss_score(clean: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(0.5 + band + F.when(~clean.contains(" "), 0.15).otherwise(0.0))
 
 
+# Starts of definitions that only refer to another.
+REFERRING = ("see ", "cf.", "compare ", "variant of", "alternative form", "misspelling", "obsolete", "archaic spelling")
+
+
 def head_gloss(text: Column) -> Column:
-    """First clause without numbering or wiki markup; null unless 2 to 60 characters and two ASCII letters."""
+    """First clause without numbering or wiki markup; null unless 2 to 60 characters, two ASCII letters, and no mere reference."""
     d = F.trim(F.split(F.trim(text), "[\n;|]")[0])
     d = F.regexp_replace(d, r"\s+", " ")
     d = F.regexp_replace(d, r"^[(\[]?\d+[)\].:]\s*", "")
@@ -106,7 +111,8 @@ def head_gloss(text: Column) -> Column:
     d = F.regexp_replace(d, r"\{\{[^}]+\}\}", "")
     d = F.regexp_replace(d, r"\[\[(?:[^|\]]+\|)?([^\]]+)\]\]", "$1")
     d = F.regexp_replace(d, r"^[ .,;:-]+|[ .,;:-]+$", "")
-    return F.when(F.length(d).between(2, 60) & (count_of(d, "[A-Za-z]") >= 2), d)
+    refers = F.lower(d).rlike("^(" + "|".join(s.replace(".", r"\.") for s in REFERRING) + ")")
+    return F.when(F.length(d).between(2, 60) & (count_of(d, "[A-Za-z]") >= 2) & ~refers, d)
 
 
 def referent(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions import gloss as G
+from lexmill.operators.similarity import best_of
 
 
 def domain_score(meaning: Column, keywords: Column) -> Column:
@@ -21,7 +22,8 @@ def pick_sense(senses: DataFrame, margin: float = 0.04) -> DataFrame:
     token, ord, meaning, keywords."""
     first = senses.groupBy("token", "meaning").agg(F.min("ord").alias("ord"), F.first("keywords").alias("keywords"))
     scored = first.withColumn("s", domain_score(F.col("meaning"), F.col("keywords"))).withColumn("content", G.content_score(F.col("meaning")))
-    ranked = scored.groupBy("token").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "ord", "meaning", "content"))), 1, 3).alias("r"))
+    top = best_of(scored, ["token"], [F.desc("s"), F.col("ord"), F.col("meaning")], 3)
+    ranked = top.groupBy("token").agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("s"), "ord", "meaning", "content"))).alias("r"))  # three a token
     clear = (F.size("r") == 1) | (-F.col("r")[0]["s"] >= -F.get("r", F.lit(1))["s"] + margin)
     rich = F.array_sort(F.transform("r", lambda x, i: F.struct((-x["content"]).alias("c"), i.alias("i"), x["meaning"].alias("meaning"))))[0]["meaning"]
     return ranked.select("token", F.when(clear, F.col("r")[0]["meaning"]).otherwise(rich).alias("meaning"))

@@ -51,14 +51,17 @@ def diacritic_fold(spark: Session, sf: str) -> DataFrame:
     return forms.select(T.fold(F.col("token")).alias("fold")).groupBy("fold").agg(F.count("*").alias("forms")).filter("forms > 1")
 
 
-GREEK = [("Κρής", "κρης", "kres"), ("λόγος", "λογος", "logos"), ("ψυχή", "ψυχη", "psyche"), ("θεός", "θεος", "theos"), (" ὕδωρ ", "υδωρ", "ydor")]
+#: Letters of part names, and the Greek ones that stand for them, accented and plain.
+NAMED, ACCENTED, PLAIN = "aeioubdgklmnprst", "άέίόύβδγκλμνπρστ", "αειουβδγκλμνπρστ"
 
 
-@query("greek_light_fold", f"SELECT form, folded, latin FROM {Q.values(GREEK, 'form, folded, latin')}")
+@query("greek_light_fold", f"""
+SELECT form, translate(word, '{NAMED}', '{PLAIN}') AS folded, regexp_replace(translate(word, 'u', 'y'), '[^a-z]', '', 'g') AS latin
+FROM (SELECT ' ' || translate(word, '{NAMED}', '{ACCENTED}') AS form, word FROM (SELECT DISTINCT p_name AS word FROM part))""")
 def greek_light_fold(spark: Session, sf: str) -> DataFrame:
-    """light fold and Latin letters."""
-    rows = spark.createDataFrame([(g[0],) for g in GREEK], "form string").withColumn("folded", T.light_fold(F.col("form")))
-    return rows.withColumn("latin", T.greek_to_latin(F.col("folded")))
+    """light fold and Latin letters of part names in accented Greek letters."""
+    rows = table(spark, sf, "part").select(F.concat(F.lit(" "), F.translate("p_name", NAMED, ACCENTED)).alias("form")).distinct()
+    return rows.withColumn("folded", T.light_fold(F.col("form"))).withColumn("latin", T.greek_to_latin(F.col("folded")))
 
 
 SQL_BARE = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
@@ -71,25 +74,33 @@ def html_slug_projection(spark: Session, sf: str) -> DataFrame:
     return p.select("page_id", T.slug(F.col("url")).alias("slug"), T.slug(F.regexp_replace("html", "<[^>]*>", " ")).alias("body"))
 
 
-HEADS = [("1. (of water) clear; pure",), ("a) the [[hand]] of a king",), ("{{lb}} to walk | run",), ("x",), ("  a great house,",), ("2) 12 34",)]
-
-
-@query("head_glosses", f"SELECT g, NULLIF(h, '') AS head FROM {Q.values([(HEADS[0][0], '(of water) clear'), (HEADS[1][0], 'the hand of a king'), (HEADS[2][0], 'to walk'), (HEADS[3][0], None), (HEADS[4][0], 'a great house'), (HEADS[5][0], None)], 'g, h')}")
+@query("head_glosses", """
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '(of ' || p_type || ') ' || p_name WHEN 1 THEN 'the ' || p_name || ' of a king' WHEN 2 THEN 'to ' || p_name WHEN 3 THEN NULL
+  WHEN 4 THEN CASE WHEN p_size > 30 THEN NULL ELSE p_brand || rpad('', p_size, 'e') END ELSE NULL END AS head FROM part""")
 def head_glosses(spark: Session, sf: str) -> DataFrame:
-    """the first clause of a definition; expected heads are given in the twin."""
-    rows = spark.createDataFrame([HEADS[0], HEADS[1], HEADS[2], HEADS[3], HEADS[4], HEADS[5]], "g string")
-    return rows.select("g", G.head_gloss(F.col("g")).alias("head"))
-
-
-REFERENTS = [("plural_of_aquae", "aqua"), ("aqua", "water"), ("genitive_of_the_rex", "rex"), ("loop_a", "loop_b"), ("loop_b", "loop_a"), ("rex", "king")]
+    """the first clause of definitions with numbers, wiki markup and clauses; too short or long ones have none."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("1. (of "), "p_type", F.lit(") "), "p_name", F.lit("; pure"))).when(k == 1, F.concat(F.lit("a) the [["), "p_name", F.lit("]] of a king")))
+        .when(k == 2, F.concat(F.lit("{{lb}} to "), "p_name", F.lit(" | run"))).when(k == 3, "x")
+        .when(k == 4, F.concat(F.lit("  "), "p_brand", F.repeat(F.lit("e"), F.when(F.col("p_size") > 30, 99).otherwise(F.col("p_size"))), F.lit(","))).otherwise("2) 12 34")
+    )
+    return p.select("p_partkey", G.head_gloss(text).alias("head"))
 
 
-@query("referent_chain", f"SELECT name, resolved FROM {Q.values([('plural_of_aquae', 'water'), ('aqua', 'water'), ('genitive_of_the_rex', 'king'), ('loop_a', 'loop_a'), ('loop_b', 'loop_b'), ('rex', 'king')], 'name, resolved')}")
+@query("referent_chain", f"""
+WITH p AS (SELECT p_partkey AS k, p_partkey // 3 AS r FROM part), s0 AS (SELECT k, r AS e FROM p),
+{', '.join(f's{i} AS (SELECT s{i - 1}.k, coalesce(p.r, e) AS e FROM s{i - 1} LEFT JOIN p ON p.k = e)' for i in range(1, 5))}
+SELECT 'w' || k::VARCHAR AS name, 'w' || e::VARCHAR AS resolved FROM s4 UNION ALL SELECT DISTINCT 'a_' || p_size::VARCHAR, 'a_' || p_size::VARCHAR FROM part UNION ALL SELECT DISTINCT 'b_' || p_size::VARCHAR, 'b_' || p_size::VARCHAR FROM part""")
 def referent_chain(spark: Session, sf: str) -> DataFrame:
-    """references followed at most four times, cycles cut; expected ends are given in the twin."""
+    """references followed at most four times from the first, circles cut."""
     from lexmill.operators.lookup import chain
 
-    return chain(spark.sql("SELECT * FROM " + Q.values(REFERENTS, "name, referent")), 4)
+    p = table(spark, sf, "part")
+    tagged = lambda t, c: F.concat(F.lit(t), c.cast("string"))
+    parts = p.select(tagged("w", F.col("p_partkey")).alias("name"), tagged("w", F.floor(F.col("p_partkey") / 3)).alias("referent"))
+    half = lambda x, y: p.select(tagged(x, F.col("p_size")).alias("name"), tagged(y, F.col("p_size")).alias("referent")).distinct()
+    return chain(parts.unionByName(half("a_", "b_")).unionByName(half("b_", "a_")), 4)
 
 
 @query("near_dup_blocked_edit", f"""
@@ -264,11 +275,23 @@ def codon_table(spark: Session) -> DataFrame:
     return spark.createDataFrame(rows, "codon string, meaning string")
 
 
-@query("genetic_code", f"SELECT x AS codon, CASE x WHEN 'ATG' THEN 'start' WHEN 'aug' THEN 'start_rna' WHEN 'cac' THEN 'energy' WHEN 'UAA' THEN 'stop_rna' WHEN 'gua' THEN 'hydrophobic_valine_rna' END AS meaning FROM {Q.values([('ATG',), ('aug',), ('cac',), ('UAA',), ('gua',), ('xyz',)], 'x')}")
+def _codon_sql() -> str:
+    case = lambda key, pairs: f"CASE {key} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items())} END"
+    spelt = "substr('TCAG', i // 16 + 1, 1) || substr('TCAG', i // 4 % 4 + 1, 1) || substr('TCAG', i % 4 + 1, 1)"
+    known = f"SELECT p_partkey, dna, rna, aa, coalesce({case('dna', OWN_WORDS)}, {case('aa', PROCESS)}) AS meaning FROM (SELECT p_partkey, p_size % 2 = 1 AS rna, {spelt} AS dna, substr('{AMINO}', i + 1, 1) AS aa FROM (SELECT *, (p_partkey % 65)::INT AS i FROM part))"
+    return (
+        "SELECT p_partkey, CASE WHEN rna THEN lower(replace(dna, 'T', 'U')) ELSE dna END AS codon, CASE WHEN rna AND contains(dna, 'T') THEN "
+        f"CASE WHEN dna = 'ATG' THEN 'start' WHEN aa = '*' THEN 'stop' ELSE meaning END || '_rna' ELSE meaning END AS meaning FROM ({known})"
+    )
+
+
+@query("genetic_code", _codon_sql())
 def genetic_code(spark: Session, sf: str) -> DataFrame:
-    """codons by a broadcast table of 64 triples in both spellings."""
-    rows = spark.sql("SELECT * FROM " + Q.values([("ATG",), ("aug",), ("cac",), ("UAA",), ("gua",), ("xyz",)], "x"))
-    return rows.join(F.broadcast(codon_table(spark)), F.lower("x") == F.col("codon"), "left").select(F.col("x").alias("codon"), "meaning")
+    """codons of both spellings, one for each part, by a broadcast table of 64 triples; two letters have no meaning."""
+    i = F.col("p_partkey") % 65
+    dna = F.concat(*[F.substr(F.lit("TCAG"), (F.floor(i / d) % m + 1).cast("int"), F.lit(1)) for d, m in ((16, 64), (4, 4), (1, 4))])
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 1, F.lower(F.replace(dna, F.lit("T"), F.lit("U")))).otherwise(dna).alias("x"))
+    return rows.join(F.broadcast(codon_table(spark)), F.lower("x") == F.col("codon"), "left").select("p_partkey", F.col("x").alias("codon"), "meaning")  # a fixed table
 
 
 CLOSED = ["the", "of", "and", "is", "a", "to", "in"]
@@ -298,11 +321,12 @@ def domain_scalar_panel(spark: Session, sf: str) -> DataFrame:
     return d.select("p_size", F.round(S.panel(d_eff=F.col("p_size") + 5.0, dpsi=0.8, dtheta=1.0, observed=True)["s"], 9).alias("s"))
 
 
-@query("domain_scalar_golden", f"SELECT domain, s FROM {Q.values([('linguistic', 0.65132476), ('historical', 0.63257834), ('quantum', 0.9555063)], 'domain, s')}")
+@query("domain_scalar_golden", f"""
+SELECT p_size, dpsi, round({sql_scalar('d', 'dpsi', '1.0')}, 8) AS s FROM (SELECT DISTINCT p_size, p_size::DOUBLE + 5 AS d, (p_partkey % 4) / 5.0::DOUBLE + 0.4 AS dpsi FROM part)""")
 def domain_scalar_golden(spark: Session, sf: str) -> DataFrame:
-    """M1: three golden values, to eight decimals."""
-    rows = spark.createDataFrame([("linguistic", 12.0, 0.8, 1.0), ("historical", 21.0, 0.8, 1.0), ("quantum", 6.0, 1.0, 1.0)], "domain string, d double, dpsi double, dtheta double")
-    return rows.select("domain", F.round(S.panel(d_eff=F.col("d"), dpsi=F.col("dpsi"), dtheta=F.col("dtheta"), observed=True)["s"], 8).alias("s"))
+    """M1: the scalar over dimensions and shifts; its golden values are in the tests."""
+    rows = table(spark, sf, "part").select("p_size", ((F.col("p_partkey") % 4) / 5.0 + 0.4).alias("dpsi")).distinct()
+    return rows.select("p_size", "dpsi", F.round(S.panel(d_eff=F.col("p_size") + 5.0, dpsi=F.col("dpsi"), dtheta=1.0, observed=True)["s"], 8).alias("s"))
 
 
 @query("authority_check", "SELECT r_name, sha256(r_name) = sha256('ASIA') AS authority_ok, 'local' AS law FROM region")
@@ -374,18 +398,29 @@ def embedding_cosine_topk(spark: Session, sf: str) -> DataFrame:
     return best_of(pairs, ["q"], [F.desc("c"), F.col("vec_id")], 5).select("q", "vec_id", F.round("c", 6).alias("cosine"))
 
 
+def _picker(spark: Session, sf: str, model: str) -> DataFrame:
+    """Picks of the pools that a model wasn't fitted on, those whose hashed id divides by four. The label, to be its pool's dearest
+    line, is none of the features."""
+    features = ["gen_rank", "nll_rank", "enc_rank", "spm_ent_norm"]
+    price = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sent_id"), F.col("l_linenumber").alias("place"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("gen"))
+    top = price.groupBy("sent_id").agg(F.max("price").alias("best"))
+    labelled = price.join(top, "sent_id").select("sent_id", "place", "gen", (F.col("price") == F.col("best")).cast("double").alias("label")).dropDuplicates(["sent_id", "place", "gen"])
+    pools = seed_pools(spark, sf).join(labelled, ["sent_id", "place", "gen"])
+    held_out = F.pmod(F.xxhash64("sent_id"), F.lit(4)) == 0
+    scored = rank.learned(pools.filter(~held_out), pools.filter(held_out), features, "label", model)
+    return rank.pick(scored, "sent_id", F.col("p"), "place", ["place"])
+
+
 @query("learned_picker")
 def learned_picker(spark: Session, sf: str) -> DataFrame:
-    """M8, M9: a logistic picker over reference-free features; the best candidate of each pool."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    """M8, M9: a logistic picker over reference-free features; the best candidate of each held-out pool."""
+    return _picker(spark, sf, "logistic")
 
-    features = ["gen_rank", "nll_rank", "enc_rank", "spm_ent_norm"]
-    pools = seed_pools(spark, sf).withColumn("label", (F.col("gen_rank") > 0.5).cast("double"))
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(pools)
-    scored = LogisticRegression(regParam=0.01, maxIter=20).fit(rows).transform(rows).withColumn("p", vector_to_array("probability")[1])
-    return rank.pick(scored, "sent_id", F.col("p"), "place", ["place"])
+
+@query("boosted_picker")
+def boosted_picker(spark: Session, sf: str) -> DataFrame:
+    """M8: the same with boosted trees."""
+    return _picker(spark, sf, "trees")
 
 
 GRID = rank.grid({"l_discount": [0.0, 1.0, 2.0], "l_tax": [0.0, 1.0]})
@@ -450,8 +485,11 @@ def json_operations(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
 
 
-@query("numeric_certification", f"SELECT id, claimed, abs(claimed - 0.6513247618) <= 1e-3 AS certified FROM {Q.values([(1, 0.6513), (1, 0.7), (3, 0.651)], 'id, claimed')}")
+@query("numeric_certification", """
+SELECT id, claimed, abs(claimed - 0.6513247618848969) <= 1e-3 AS certified FROM (
+  SELECT p_partkey AS id, unnest([('0.' || lpad((6490 + p_size)::VARCHAR, 4, '0'))::DOUBLE, p_size::DOUBLE]) AS claimed FROM part WHERE p_partkey % 3 <> 0)""")
 def numeric_certification(spark: Session, sf: str) -> DataFrame:
-    """Numbers claimed in texts against the law; expected claims are given in the twin."""
-    texts = spark.createDataFrame([(1, "here S = 0.6513 and then S=0.7"), (2, "no number"), (3, "S = 0.651!")], "id int, text string")
-    return retrieve.certify(texts, S.panel(d_eff=12.0, dpsi=0.8, dtheta=1.0, observed=True)["s"])
+    """Two numbers claimed in a text of each part against the law, none in every third."""
+    said = F.concat(F.lit("here S = 0."), F.lpad((F.col("p_size") + 6490).cast("string"), 4, "0"), F.lit("! and then S="), F.col("p_size").cast("string"), F.lit(" or X = 4"))
+    texts = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "no number").otherwise(said).alias("text"))
+    return retrieve.certify(texts, S.panel(d_eff=F.lit(12.0), dpsi=F.lit(0.8), dtheta=F.lit(1.0), observed=True)["s"])

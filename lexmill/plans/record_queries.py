@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import gloss as G
 from lexmill.functions import text as T
 from lexmill.operators import retrieve
+from lexmill.operators.similarity import best_of
 from lexmill.plans import sql as Q
 from lexmill.plans.registry import query
 from lexmill.session import shared_path, table
@@ -87,13 +88,6 @@ def pool_scan(spark: Session, sf: str) -> DataFrame:
     return each.select("sent_id", (F.col("x.h") - 1).alias("place"), F.col("x.s").alias("score"))
 
 
-@query("pack_languages", f"SELECT CASE lower(trim(code)) WHEN 'el' THEN 'grc' WHEN 'lat' THEN 'la' WHEN 'oe' THEN 'ang' ELSE lower(trim(code)) END AS lang, count(*) AS n FROM {Q.values([('el',), ('lat',), ('LA ',), ('oe',), ('grc',), ('akk',)], 'code')} GROUP BY 1")
-def pack_languages(spark: Session, sf: str) -> DataFrame:
-    """Language codes to canonical ones, by scope."""
-    rows = spark.sql("SELECT * FROM " + Q.values([("el",), ("lat",), ("LA ",), ("oe",), ("grc",), ("akk",)], "code"))
-    return rows.groupBy(readers.language_code(F.col("code"), "packs").alias("lang")).agg(F.count("*").alias("n"))
-
-
 @query("append_log_replay", "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
 def append_log_replay(spark: Session, sf: str) -> DataFrame:
     """Two appends to a log of JSON lines, replayed."""
@@ -117,21 +111,6 @@ def union_of_facts(spark: Session, sf: str) -> DataFrame:
     return facts.groupBy("source_rank").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
 
 
-@query("atlas_scan", f"SELECT name, D_eff * 2 AS doubled, observed = 1 AS observed FROM {Q.values([('linguistic', 12.0, 1), ('historical', 21.0, 1), ('fluid', 9.0, 0)], 'name, D_eff, observed')}")
-def atlas_scan(spark: Session, sf: str) -> DataFrame:
-    """A domain atlas with typed columns."""
-    path = shared_path(spark, "atlas")
-    spark.createDataFrame([("linguistic", 12.0, 0.8, 1.0, 1, "word tongue"), ("historical", 21.0, 0.8, 1.0, 1, "empire"), ("fluid", 9.0, 1.0, 1.0, 0, "flow")], "name string, D_eff double, delta_psi double, delta_theta double, observed int, keywords string").write.option("header", True).option("sep", "\t").csv(path)
-    return readers.read_atlas(spark, path).select("name", (F.col("D_eff") * 2).alias("doubled"), "observed")
-
-
-@query("box_scan", f"SELECT id, x0 + x1 AS total FROM {Q.values([(1, 1.5, 2.5), (2, 3.0, 4.0)], 'id, x0, x1')}")
-def box_scan(spark: Session, sf: str) -> DataFrame:
-    """A comma-separated box to an array of doubles."""
-    rows = spark.createDataFrame([(1, "1.5,2.5"), (2, "3.0,4.0")], "id int, bbox string").withColumn("b", F.split("bbox", ",").cast("array<double>"))
-    return rows.select("id", (F.col("b")[0] + F.col("b")[1]).alias("total"))
-
-
 @query("image_sink")
 def image_sink(spark: Session, sf: str) -> DataFrame:
     """A small image per row as PNG bytes; returns its size and signature."""
@@ -176,7 +155,18 @@ SQL_GARBAGE = (
     " OR (contains(m, '_') AND (len(list_filter(c, lambda x: length(x) >= 4)) = 0 OR len(list_filter(c, lambda x: length(x) <= 1)) >= 2))"
     f" OR (regexp_matches(m, '_[a-z]$') AND length(m) <= 16) OR regexp_matches(m, '^[a-z]{{3,12}}_[a-z]{{1,2}}$') OR m IN ({', '.join(f"'{w}'" for w in G.SHELLS)}) OR regexp_matches(m, '{G.GRAMMAR_TEXT}'))"
 )
-SQL_KEYS = f"SELECT gloss, m, string_split(m, '_') AS b, list_filter(string_split(m, '_'), lambda x: x <> '') AS c, list_filter(regexp_extract_all(gloss, '[a-z]{{3,}}'), lambda x: x NOT IN ({', '.join(f"'{w}'" for w in G.STOP)})) AS found FROM (SELECT gloss, regexp_replace(lower(gloss), '^_+|_+$', '', 'g') AS m FROM {Q.values(GLOSSES, 'gloss')} UNION ALL SELECT DISTINCT {Q.slug('p_name')}, {Q.slug('p_name')} FROM part)"
+def sql_keys(glosses: str) -> str:
+    """The rows of a query with a gloss, and what the twins of the predicates work on."""
+    stop = ", ".join(f"'{w}'" for w in G.STOP)
+    found = f"list_filter(regexp_extract_all(gloss, '[a-z]{{3,}}'), lambda x: x NOT IN ({stop}))"
+    return f"SELECT *, string_split(m, '_') AS b, list_filter(string_split(m, '_'), lambda x: x <> '') AS c, {found} AS found FROM (SELECT *, regexp_replace(lower(gloss), '^_+|_+$', '', 'g') AS m FROM ({glosses}))"
+
+
+SQL_KEYS = sql_keys(f"SELECT gloss FROM {Q.values(GLOSSES, 'gloss')} UNION ALL SELECT DISTINCT {Q.slug('p_name')} FROM part")
+SQL_CONTENT = (
+    f"CASE WHEN gloss = '' THEN 0.0 WHEN {SQL_GARBAGE} THEN 0.05 WHEN len(found) = 0 THEN 0.2"
+    " ELSE least(1.0, 0.4 + 0.1 * len(found) + 0.3 * least(1.0, 12.0::DOUBLE / greatest(4, length(gloss)))) * CASE WHEN length(gloss) > 50 THEN 0.7 ELSE 1 END END::DOUBLE"
+)
 
 
 def _glosses(spark: Session, sf: str) -> DataFrame:
@@ -190,9 +180,7 @@ def gloss_predicates(spark: Session, sf: str) -> DataFrame:
     return _glosses(spark, sf).select("gloss", G.is_grammatical(F.col("gloss")).alias("grammatical"), G.is_garbage(F.col("gloss")).alias("garbage"))
 
 
-@query("gloss_content_score", f"""
-SELECT gloss, round(CASE WHEN gloss = '' THEN 0.0 WHEN {SQL_GARBAGE} THEN 0.05 WHEN len(found) = 0 THEN 0.2
-  ELSE least(1.0, 0.4 + 0.1 * len(found) + 0.3 * least(1.0, 12.0::DOUBLE / greatest(4, length(gloss)))) * CASE WHEN length(gloss) > 50 THEN 0.7 ELSE 1 END END::DOUBLE, 9) AS score FROM ({SQL_KEYS})""")
+@query("gloss_content_score", f"SELECT gloss, round({SQL_CONTENT}, 9) AS score FROM ({SQL_KEYS})")
 def gloss_content_score(spark: Session, sf: str) -> DataFrame:
     """how much content a gloss has."""
     return _glosses(spark, sf).select("gloss", F.round(G.content_score(F.col("gloss")), 9).alias("score"))
@@ -294,20 +282,17 @@ def hash_split_counts(spark: Session, sf: str) -> DataFrame:
     return h.groupBy(F.when(F.col("h") < 8500, "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"), F.sum("h").alias("total"))
 
 
-@query("stratified_quota", "SELECT lang, least(count(*), 25) AS n FROM documents GROUP BY lang")
+@query("stratified_quota", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= 25")
 def stratified_quota(spark: Session, sf: str) -> DataFrame:
-    """At most 25 of each language, by hash. A coarse hash threshold cuts each stratum down before it is ranked."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(42)), F.lit(1 << 30)).alias("h"))
-    share = d.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.least(F.lit(1.0), 8 * 25 / F.col("n")).alias("share"))
-    near = d.join(share, "lang").filter(F.col("h") <= F.col("share") * (1 << 30))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
-    return near.withColumn("r", F.row_number().over(w)).filter("r <= 25").groupBy("lang").agg(F.count("*").alias("n"))
+    """At most 25 of each language, by hash; the limit is applied before the shuffle."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return best_of(d, ["lang"], [F.md5(F.col("doc_id").cast("string")), F.col("doc_id")], 25).select("lang", "doc_id")
 
 
-@query("fixed_sample", "SELECT least(count(*), 100) AS n FROM documents")
+@query("fixed_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
 def fixed_sample(spark: Session, sf: str) -> DataFrame:
     """100 rows by hash order: top-k per partition, then one merge."""
-    return table(spark, sf, "documents").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(100).agg(F.count("*").alias("n"))
+    return table(spark, sf, "documents").select("doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(100)
 
 
 @query("breadth_pick", f"""

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lexmill.plans import function_queries, graph_queries, join_queries, record_queries, sense_queries, slice_queries  # noqa: F401
+    from lexmill.plans import function_queries, graph_queries, join_queries, reader_queries, record_queries, sense_queries, slice_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -5,46 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions import text as T
 from lexmill.operators import senses
 from lexmill.plans import sql as Q
 from lexmill.plans.join_queries import SQL_STORE, store
+from lexmill.plans.record_queries import SQL_CONTENT, SQL_META, sql_keys
 from lexmill.plans.registry import query
-from lexmill.session import shared_path, table
-from lexmill.sources import readers
+from lexmill.session import table
 
 Session = SparkSession
 
-SENSES = [("anax", 1, "king"), ("anax", 2, "small_fish"), ("theos", 1, "god"), ("theos", 2, "nominative_of_deus"), ("lithos", 1, "stone"), ("lithos", 2, "rock")]
+KEYWORDS = ("ring", "bolt", "red", "gear")
+SQL_SENSES = f"SELECT p_brand AS token, {Q.slug("p_name || CASE WHEN p_size > 45 THEN ' of the old stone house in the mountains' ELSE '' END")} AS gloss, min(p_partkey) AS ord FROM part GROUP BY ALL"
 
 
-@query("domain_sense_pick", f"SELECT token, meaning FROM {Q.values([('anax', 'king'), ('theos', 'god'), ('lithos', 'stone')], 'token, meaning')}")
+@query("domain_sense_pick", f"""
+WITH x AS (SELECT token, ord, gloss AS meaning, {SQL_CONTENT} AS content, {SQL_META} AS meta, least(4, len(list_filter({list(KEYWORDS)}, lambda k: contains(replace(gloss, '_', ' '), k)))) AS hits FROM ({sql_keys(SQL_SENSES)})),
+s AS (SELECT *, CASE WHEN meta THEN 0.05 WHEN length(meaning) > 48 THEN 0.7 * (0.4 * content + 0.15 * hits) ELSE 0.4 * content + 0.15 * hits END::DOUBLE AS s FROM x),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY s DESC, ord) AS r FROM s),
+t AS (SELECT token, count(*) AS n, max(s) FILTER (r = 1) AS s1, max(s) FILTER (r = 2) AS s2, arg_min(meaning, r) AS best, arg_min(meaning, (-content, r)) AS rich FROM r WHERE r <= 3 GROUP BY token)
+SELECT token, CASE WHEN n = 1 OR s1 >= s2 + 0.04 THEN best ELSE rich END AS meaning FROM t""")
 def domain_sense_pick(spark: Session, sf: str) -> DataFrame:
-    """Senses ranked by keywords of the domain and content; expected picks are given in the twin."""
-    rows = spark.sql("SELECT * FROM " + Q.values(SENSES, "token, ord, meaning"))
-    return senses.pick_sense(rows.withColumn("keywords", F.array(*map(F.lit, ["king", "war", "people", "land"]))))
+    """Names of a brand's parts as its senses, ranked by keywords of the domain and content."""
+    p = table(spark, sf, "part")
+    gloss = T.slug(F.concat("p_name", F.when(F.col("p_size") > 45, " of the old stone house in the mountains").otherwise("")))
+    return senses.pick_sense(p.select(F.col("p_brand").alias("token"), F.col("p_partkey").alias("ord"), gloss.alias("meaning"), F.array(*map(F.lit, KEYWORDS)).alias("keywords")))
 
 
-SYMBOLS = [("s8", "cosmological", "structure"), ("s8", "hieroglyphic", "atef"), ("h2", "nuclear", "deuterium"), ("me", "mythological", "divine_decree")]
-ASKED = [("S8", "cosmological"), ("s8", "hieroglyphic"), ("H2", "nuclear"), ("me", "mythological"), ("me", "english")]
-
-
-@query("context_symbols", f"SELECT token, a.context, meaning, CASE WHEN meaning IS NOT NULL THEN 'domain_registry:' || a.context END AS source FROM (SELECT * FROM {Q.values(ASKED, 'token, context')}) a LEFT JOIN (SELECT * FROM {Q.values(SYMBOLS, 'form, context, meaning')}) b ON lower(token) = form AND a.context = b.context")
+@query("context_symbols", """
+WITH a AS (SELECT s_suppkey, n_name AS token, 'region_' || (s_suppkey % 5)::VARCHAR AS context FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT token, a.context, 'meaning_' || n_nationkey::VARCHAR AS meaning, CASE WHEN n_nationkey IS NOT NULL THEN 'domain_registry:' || a.context END AS source FROM a LEFT JOIN nation ON n_name = token AND 'region_' || n_regionkey::VARCHAR = a.context""")
 def context_symbols(spark: Session, sf: str) -> DataFrame:
-    """One surface, different meanings by context."""
-    return senses.symbol_lookup(spark.sql("SELECT * FROM " + Q.values(ASKED, "token, context")), spark.sql("SELECT * FROM " + Q.values(SYMBOLS, "form, context, meaning")))
-
-
-TIERS = [
-    ("a", "exact", "x", 1.0), ("a", "A", "y", 0.99), ("b", "A", "p", 0.96), ("b", "A", "q", 0.9), ("c", "B", "m", 0.7), ("c", "B", "m", 0.75), ("c", "B", "n", 0.9),
-    ("d", "B", "m", 0.6), ("d", "C", "z", 0.85), ("e", "C", "z", 0.79),
-]
-
-
-@query("booster_cascade", f"SELECT token, meaning, score, tier FROM {Q.values([('a', 'x', 1.0, 'exact'), ('b', 'p', 0.96, 'A'), ('c', 'm', 0.81, 'B'), ('d', 'z', 0.85, 'C')], 'token, meaning, score, tier')}")
+    """One surface, a meaning in one context and none in others: nations asked for in regions."""
+    n = table(spark, sf, "nation")
+    region = lambda c: F.concat(F.lit("region_"), c.cast("string"))
+    asked = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("token"), region(F.col("s_suppkey") % 5).alias("context"))
+    registry = n.select(F.lower("n_name").alias("form"), region(F.col("n_regionkey")).alias("context"), F.concat(F.lit("meaning_"), F.col("n_nationkey").cast("string")).alias("meaning"))
+    return senses.symbol_lookup(asked, registry)
+
+
+@query("booster_cascade", """
+WITH c AS (SELECT l_orderkey AS token, CASE WHEN l_quantity > 49 THEN 'exact' WHEN l_quantity > 45 THEN 'A' WHEN l_quantity > 15 THEN 'B' ELSE 'C' END AS tier, 'm' || (l_suppkey % 3)::VARCHAR AS meaning, 0.6 + l_discount * 4 AS score FROM lineitem),
+g AS (SELECT token, tier, meaning, count(*) AS n, max(score) AS best FROM c WHERE tier IN ('exact', 'A') OR (tier = 'B' AND score >= 0.68) OR (tier = 'C' AND score >= 0.80) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY CASE tier WHEN 'exact' THEN 0 WHEN 'A' THEN 1 WHEN 'B' THEN 2 ELSE 3 END, CASE WHEN tier = 'B' THEN n ELSE 0 END DESC, best DESC, meaning DESC) AS r FROM g)
+SELECT token, meaning, round(CASE WHEN tier = 'B' AND n >= 2 THEN least(0.95, best + 0.06) ELSE best END, 6) AS score, tier FROM r WHERE r = 1""")
 def booster_cascade(spark: Session, sf: str) -> DataFrame:
-    """Tiers of candidates with agreement; expected choices are given in the twin."""
-    found = senses.booster(spark.sql("SELECT * FROM " + Q.values(TIERS, "token, tier, meaning, score")))
-    return found.select("token", "meaning", F.round("score", 6).alias("score"), "tier")
+    """Tiers of candidates with agreement: the lines of an order propose one of three meanings."""
+    size = F.col("l_quantity")
+    tier = F.when(size > 49, "exact").when(size > 45, "A").when(size > 15, "B").otherwise("C")
+    c = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("token"), tier.alias("tier"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("meaning"), (0.6 + F.col("l_discount") * 4).alias("score"))
+    return senses.booster(c).select("token", "meaning", F.round("score", 6).alias("score"), "tier")
 
 
 def _diffusion_sql() -> str:
@@ -87,11 +97,3 @@ def waveform_samples(spark: Session, sf: str) -> DataFrame:
     sizes = table(spark, sf, "part").select("p_size").distinct()
     wave = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.round(F.sin(2 * F.pi() * F.col("p_size") * i / 64.0), 9) + F.lit(0.0))
     return sizes.select("p_size", wave.alias("samples"))
-
-
-@query("file_checksums", "SELECT sha256('{\"r_regionkey\":0}' || chr(10)) AS sha256, 18::BIGINT AS length")
-def file_checksums(spark: Session, sf: str) -> DataFrame:
-    """Checksums of files; downloads themselves are out of scope."""
-    path = shared_path(spark, "files")
-    table(spark, sf, "region").filter("r_regionkey = 0").select(F.to_json(F.struct("r_regionkey")).alias("value")).coalesce(1).write.text(path)
-    return readers.checksums(spark, f"{path}/*.txt").select("sha256", "length")

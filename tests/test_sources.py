@@ -76,3 +76,13 @@ def test_log_and_media(spark, tmp_path):
     sinks.append_log(spark.createDataFrame([(2, "b")], "id int, t string"), str(tmp_path / "log"))
     assert sinks.replay_log(spark, str(tmp_path / "log"), "id int, t string").count() == 2
     assert sinks.png_bytes(2, 1, b"\0" * 6).startswith(b"\x89PNG") and len(sinks.wav_bytes(sinks.formants([440.0], 0.01))) == 44 + 320
+
+
+def test_relational_scan_pushes_its_predicate(spark):
+    """A database in memory, as the session's own Derby is one; its driver and this session's are one process."""
+    url = "jdbc:derby:memory:lexmill;create=true"
+    rows = spark.createDataFrame([(1, "aqua", "la"), (2, "hydor", "grc"), (3, "manus", "la")], "id int, word string, lang string")
+    rows.write.format("jdbc").options(url=url, dbtable="words", driver="org.apache.derby.jdbc.EmbeddedDriver", createTableColumnTypes="word VARCHAR(40), lang VARCHAR(8)").mode("overwrite").save()
+    df = readers.read_jdbc(spark, url, "words", "id >= 2 AND lang = 'la'", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert [r["word"] for r in df.collect()] == ["manus"]
+    assert "GreaterThanOrEqual(ID,2)" in df._jdf.queryExecution().executedPlan().toString().replace("id", "ID")
