@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.functions import gloss as G
 from lexmill.functions import text as T
 
 
@@ -92,3 +93,87 @@ def chain(pairs: DataFrame, steps: int = 4) -> DataFrame:
         go = F.col("r2").isNotNull() & ~F.array_contains("seen", F.col("at"))
         out = joined.select("name", F.when(go, F.col("r2")).otherwise(F.col("at")).alias("at"), F.array_union("seen", F.array("at")).alias("seen"))
     return out.select("name", F.col("at").alias("resolved"))
+
+
+def peel_compounds(tokens: DataFrame, store: DataFrame, prefixes: list[str], endings: list[str], shortest: int = 8, keep: int = 4) -> DataFrame:
+    """token, form, meaning by what a known prefix leaves: that itself, else with an ending, else its longest stem with or
+    without one. Tokens of at least `shortest` characters, rests of at least `keep`; the longest prefix first."""
+    ordered = sorted(set(prefixes), key=lambda p: (-len(p), p))
+    n = F.length("token")
+    rests = [F.when(F.col("token").startswith(p) & (n - len(p) >= keep), F.struct(F.lit(i).alias("rule"), F.substr("token", F.lit(len(p) + 1)).alias("rest"))) for i, p in enumerate(ordered)]
+    peeled = tokens.filter(n >= shortest).select("token", F.explode(F.array_compact(F.array(*rests))).alias("x")).select("token", "x.*")
+    stems = peeled.select("token", "rule", F.posexplode(F.concat(F.array("rest"), T.truncations(F.col("rest")))).alias("cutoff", "stem"))
+    tried = stems.select("token", "rule", "cutoff", F.posexplode(F.array("stem", *[F.concat("stem", F.lit(e)) for e in endings])).alias("ending", "form"))
+    best = tried.join(store, "form").groupBy("token").agg(F.min_by(F.struct("form", "meaning"), F.struct("rule", "cutoff", "ending")).alias("r"))
+    return tokens.join(best.select("token", "r.*"), "token", "left")
+
+
+# Latin endings that come off, those that leave a stem in -u (with the least length of the form), and what a
+# lemma may end in.
+LATIN_ENDINGS = (
+    "ationibus ionibus tionibus tatibus oribus arum orum ibus uum ium em um am as os es is us ae ui a o i e u"
+).split()
+U_STEMS = (("ibus", 6), ("uum", 5))
+LATIN_LEMMAS = "us um a is es or io u are ere ire o".split()
+# Words of meanings that the historical and linguistic domains prefer.
+DOMAIN_WORDS = ("hand", "water", "law", "king", "city", "war", "people")
+
+
+def declension_stems(form: Column) -> Column:
+    """Stems by declension class: the form, the fourth class rebuilt with its -u, and what is left of each ending."""
+    n = F.length(form)
+    rebuilt = [F.when(form.endswith(e) & (n >= least), F.concat(F.substr(form, F.lit(1), n - len(e)), F.lit("u"))) for e, least in U_STEMS]
+    return F.array_distinct(F.filter(F.concat(F.array(form), F.array_compact(F.array(*rebuilt)), T.strip_suffixes(form, LATIN_ENDINGS)), lambda s: F.length(s) >= 3))
+
+
+def declension_lemmas(tokens: DataFrame, store: DataFrame, least: float = 0.82) -> DataFrame:
+    """token, meaning, donor, score: the best key among class stems (0.84) and stems with a lemma's ending (0.88), more for
+    longer stems, content, likeness and words of the domain; like the token by 0.48, or 0.62 where lengths differ by over 4."""
+    tried = candidates_by(tokens, declension_stems(F.col("token")), LATIN_LEMMAS).withColumnRenamed("candidate", "form")
+    found = tried.join(store, "form").withColumn("sim", T.edit_similarity(F.col("token"), F.col("form")))
+    apart = F.abs(F.length("token") - F.length("form")) > 4
+    found = found.filter((F.col("sim") >= 0.48) & ~(apart & (F.col("sim") < 0.62)))
+    base = F.when(F.col("place") == 0, 0.84).otherwise(0.88) * F.when(G.is_grammatical(F.col("meaning")), 0.35).otherwise(1.0)
+    base = base + F.when(F.lower("meaning").rlike("|".join(DOMAIN_WORDS)), 0.05).otherwise(0.0) + 0.03 * F.least(F.lit(3), F.length("stem") - 3)
+    scored = found.withColumn("score", F.least(F.lit(0.96), base + 0.10 * G.content_score(F.col("meaning")) + 0.18 * F.col("sim"))).filter(F.col("score") >= least)
+    order = F.struct("score", F.length("stem").alias("n"), "form")
+    return scored.groupBy("token").agg(F.max_by(F.struct("meaning", F.col("form").alias("donor"), "score"), order).alias("r")).select("token", "r.*")
+
+
+# Endings of ethnonyms, and what a place's name may have after their stem.
+DEMONYMS = "ιώτης ιώτου ίτης ίτου εύς έως αίος αῖος ensis enses anus ana ani anum icus ica icum ites itae iotai".split()
+PLACE_ENDINGS = ["", "a", "os", "us", "on", "um"]
+
+
+def gazetteer(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """token, lang, meaning, score, method of the first probe that has a name: the form in its language 0.98, in any 0.95; by
+    Latin letters a Greek name 0.90 or any form 0.88; without an ethnonym's ending 0.84, its Greek stem by Latin letters
+    0.82; a form in contact 0.80. names: lang, form, meaning, ord (of several, the first has the key)."""
+    greek = lambda c: c.rlike("[\u0370-\u03ff\u1f00-\u1fff]")
+    of, lang = T.light_fold(F.col("form")), F.col("lang")
+    keys = F.array(F.concat(F.lit("l|"), lang, F.lit("|"), of), F.concat(F.lit("f|"), of), F.when(greek(of), F.concat(F.lit("t|"), T.greek_to_latin(of))))
+    keyed = names.select(F.explode(F.array_compact(keys)).alias("key"), "meaning", "ord").groupBy("key").agg(F.min_by("meaning", "ord").alias("meaning"))
+
+    def probe(place: int, kind: str, key: Column, score: float, method: str) -> Column:
+        full = F.concat(F.lit("l|"), lang, F.lit("|"), key) if kind == "l" else F.concat(F.lit(kind + "|"), key)
+        return F.struct(F.lit(place).alias("place"), full.alias("key"), F.lit(score).alias("score"), F.lit(method).alias("method"))
+
+    form, n = F.col("__form"), F.length("__form")
+    bridge, latin = greek(form) | lang.isin("grc", "el"), T.greek_to_latin(form)
+    probes = [
+        probe(0, "l", form, 0.98, "name_lang_exact"), probe(1, "f", form, 0.95, "name_form_exact"),
+        F.when(bridge, probe(2, "t", latin, 0.90, "name_translit")), F.when(bridge, probe(3, "f", latin, 0.88, "name_translit_form")),
+    ]
+    folded = {e.translate(str.maketrans(T.GREEK_ACCENTED, T.GREEK_PLAIN)) for e in DEMONYMS}
+    for i, e in enumerate(sorted(folded, key=lambda x: (-len(x), x))):
+        peels, stem, at = form.endswith(e) & (n - len(e) >= 3), F.substr(form, F.lit(1), n - len(e)), 10 + 20 * i
+        for k, more in enumerate(PLACE_ENDINGS):
+            place = F.concat(stem, F.lit(more))
+            probes += [F.when(peels, probe(at + 2 * k, "f", place, 0.84, "name_demonym_peel")), F.when(peels, probe(at + 2 * k + 1, "l", place, 0.84, "name_demonym_peel"))]
+        old = peels & lang.isin("grc", "el")
+        probes += [F.when(old, probe(at + 18, "f", T.greek_to_latin(stem), 0.82, "name_demonym_translit")), F.when(old, probe(at + 19, "t", T.greek_to_latin(stem), 0.82, "name_demonym_translit"))]
+    probes.append(probe(10_000, "f", F.when(greek(form), latin).otherwise(form), 0.80, "name_contact_title"))
+    asked = tokens.select("token", "lang").distinct().withColumn("__form", T.light_fold(F.col("token")))
+    tried = asked.select("token", "lang", F.explode(F.array_compact(F.array(*probes))).alias("x")).select("token", "lang", "x.*")
+    best = tried.join(keyed, "key").groupBy("token", "lang").agg(F.min_by(F.struct("meaning", "score", "method"), "place").alias("r"))
+    return tokens.join(best.select("token", "lang", "r.*"), ["token", "lang"], "left")

@@ -275,15 +275,103 @@ def gram_cosine_neighbours(spark: Session, sf: str) -> DataFrame:
     return similarity.gram_pairs(n, n, prefix=1).select("form", "other", F.round("cosine", 9).alias("cosine"))
 
 
-@query("gazetteer_cascade", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 8000 THEN 'exact' END, n_name, c_name) AS title, CASE WHEN c_acctbal > 8000 THEN 0.98 WHEN n_name IS NOT NULL THEN 0.95 ELSE 0.8 END::DOUBLE AS score FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
+#: Letters of part names and the Greek ones for them, accented and plain.
+NAMED, ACCENTED, PLAIN = "aeiobdgklmnprst", "άέίόβδγκλμνπρστ", "αειοβδγκλμνπρστ"
+#: Ethnonym endings as they are peeled: folded, the longest first.
+PEELED = sorted({e.translate(str.maketrans(T.GREEK_ACCENTED, T.GREEK_PLAIN)) for e in lookup.DEMONYMS}, key=lambda x: (-len(x), x))
+
+
+def _gazetteer_sql() -> str:
+    fold = lambda x: f"translate({x}, '{ACCENTED}', '{PLAIN}')"
+    latin = lambda x: f"regexp_replace(translate({x}, '{PLAIN}', '{NAMED}'), '[^a-z]', '', 'g')"
+    old = f"translate(form, '{NAMED}', '{ACCENTED}')"
+    names_ = f"SELECT CASE WHEN length(form) % 2 = 0 THEN 'la' ELSE 'en' END AS lang, form, 'place_' || form AS meaning, form AS ord FROM {SQL_NAMES} WHERE length(form) > 3 UNION ALL SELECT 'grc', {fold(old)}, 'polis_' || form, 'z' || form FROM {SQL_NAMES} WHERE length(form) = 4"
+    asked_ = f"SELECT form AS token, 'la' AS lang FROM {SQL_NAMES} UNION ALL SELECT {old}, 'grc' FROM {SQL_NAMES} UNION ALL SELECT form || 'ensis', 'la' FROM {SQL_NAMES} UNION ALL SELECT form || 'ana', 'fr' FROM {SQL_NAMES} UNION ALL SELECT {old} || 'ιώτης', 'grc' FROM {SQL_NAMES}"
+    parts = [
+        f"n AS ({names_})", "k AS (SELECT key, arg_min(meaning, ord) AS meaning FROM (SELECT 'l|' || lang || '|' || form AS key, meaning, ord FROM n UNION ALL SELECT 'f|' || form, meaning, ord FROM n"
+        f" UNION ALL SELECT 't|' || {latin('form')}, meaning, ord FROM n WHERE lang = 'grc') GROUP BY key)",
+        f"t AS (SELECT token, lang, lower(translate(token, '{ACCENTED}ώ', '{PLAIN}ω')) AS form FROM ({asked_}))",
+        f"d AS (SELECT token, lang, i, left(form, length(form) - length(e)) AS stem FROM t, (SELECT * FROM {Q.values([(i, e) for i, e in enumerate(PEELED)], 'i, e').replace(' t(', ' u(')}) WHERE ends_with(form, e) AND length(form) - length(e) >= 3)",
+        f"c AS (SELECT d.*, k, stem || more AS place FROM d, (SELECT * FROM {Q.values(list(enumerate(lookup.PLACE_ENDINGS)), 'k, more').replace(' t(', ' u(')}))",
+        "p AS (SELECT token, lang, 0 AS place, 'l|' || lang || '|' || form AS key, 0.98 AS score, 'name_lang_exact' AS method FROM t UNION ALL SELECT token, lang, 1, 'f|' || form, 0.95, 'name_form_exact' FROM t"
+        f" UNION ALL SELECT token, lang, 2, 't|' || {latin('form')}, 0.90, 'name_translit' FROM t WHERE lang = 'grc' UNION ALL SELECT token, lang, 3, 'f|' || {latin('form')}, 0.88, 'name_translit_form' FROM t WHERE lang = 'grc'"
+        " UNION ALL SELECT token, lang, 10 + 20 * i + 2 * k, 'f|' || place, 0.84, 'name_demonym_peel' FROM c UNION ALL SELECT token, lang, 11 + 20 * i + 2 * k, 'l|' || lang || '|' || place, 0.84, 'name_demonym_peel' FROM c"
+        f" UNION ALL SELECT token, lang, 28 + 20 * i, 'f|' || {latin('stem')}, 0.82, 'name_demonym_translit' FROM d WHERE lang = 'grc' UNION ALL SELECT token, lang, 29 + 20 * i, 't|' || {latin('stem')}, 0.82, 'name_demonym_translit' FROM d WHERE lang = 'grc')",
+        "b AS (SELECT token, lang, arg_min(meaning, place) AS meaning, arg_min(score, place)::DOUBLE AS score, arg_min(method, place) AS method FROM p JOIN k USING (key) GROUP BY token, lang)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT t.token, t.lang, meaning, score, method FROM t LEFT JOIN b ON b.token = t.token AND b.lang = t.lang"
+
+
+@query("gazetteer_cascade", _gazetteer_sql())
 def gazetteer_cascade(spark: Session, sf: str) -> DataFrame:
-    """Candidates of several sources with their scores; the best wins."""
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
-    n = table(spark, sf, "nation").filter("n_regionkey < 3").select("n_nationkey", "n_name")
-    exact = c.filter("c_acctbal > 8000").select("c_custkey", F.lit("exact").alias("title"), F.lit(0.98).alias("score"))
-    place = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("title"), F.lit(0.95).alias("score"))
-    own = c.select("c_custkey", F.col("c_name").alias("title"), F.lit(0.8).alias("score"))
-    return exact.unionAll(place).unionAll(own).groupBy("c_custkey").agg(F.max_by(F.struct("title", "score"), "score").alias("r")).select("c_custkey", "r.*")
+    """Words of part names as places, asked for as they are, in Greek letters, and as the people who live there."""
+    n = names(spark, sf)
+    form, old = F.col("form"), F.translate("form", NAMED, ACCENTED)
+    places = n.filter(F.length("form") > 3).select(F.when(F.length("form") % 2 == 0, "la").otherwise("en").alias("lang"), form, F.concat(F.lit("place_"), form).alias("meaning"), form.alias("ord"))
+    greek = n.filter(F.length("form") == 4).select(F.lit("grc").alias("lang"), old.alias("form"), F.concat(F.lit("polis_"), form).alias("meaning"), F.concat(F.lit("z"), form).alias("ord"))
+    ask = lambda token, lang: F.struct(token.alias("token"), F.lit(lang).alias("lang"))
+    asked_ = F.array(ask(form, "la"), ask(old, "grc"), ask(F.concat(form, F.lit("ensis")), "la"), ask(F.concat(form, F.lit("ana")), "fr"), ask(F.concat(old, F.lit("ιώτης")), "grc"))
+    return lookup.gazetteer(n.select(F.explode(asked_).alias("x")).select("x.*"), places.unionByName(greek))
+
+
+LATIN_TOKENS = ("ibus", "orum", "uum", "ae", "ationibus")
+SQL_DECLINED = " UNION ".join(f"SELECT left(form, length(form) - {k}) || '{e}' AS token FROM {SQL_NAMES} WHERE length(form) > 3" for e in LATIN_TOKENS for k in (0, 1, 2))
+
+
+def _declension_sql() -> str:
+    from lexmill.plans.record_queries import SQL_CONTENT, SQL_META, sql_keys
+
+    ending = lambda rows, names_: f"(SELECT * FROM {Q.values(rows, names_).replace(' t(', ' u(')})"
+    meanings = sql_keys(f"SELECT form, meaning || CASE length(form) % 3 WHEN 0 THEN '_king' ELSE '' END AS gloss FROM {SQL_STORE}")
+    parts = [
+        f"t AS ({SQL_DECLINED})", f"s AS (SELECT form AS donor, gloss AS meaning, {SQL_CONTENT} AS content, {SQL_META} AS meta FROM ({meanings}))",
+        f"c AS (SELECT DISTINCT token, stem FROM (SELECT token, token AS stem FROM t UNION ALL SELECT token, left(token, length(token) - length(e)) || 'u' FROM t, {ending(list(lookup.U_STEMS), 'e, n')} WHERE ends_with(token, e) AND length(token) >= n"
+        f" UNION ALL SELECT token, left(token, length(token) - length(e)) FROM t, {ending([(e,) for e in lookup.LATIN_ENDINGS], 'e')} WHERE ends_with(token, e) AND length(token) - length(e) >= 3) WHERE length(stem) >= 3)",
+        f"f AS (SELECT token, stem, e, s.*, {Q.edit_similarity('token', 'donor')} AS sim FROM (SELECT token, stem, e, stem || e AS cand FROM c, {ending([('',), *[(e,) for e in lookup.LATIN_LEMMAS]], 'e')}) JOIN s ON donor = cand)",
+        f"z AS (SELECT *, least(0.96, CASE WHEN e = '' THEN 0.84 ELSE 0.88 END * CASE WHEN meta THEN 0.35 ELSE 1 END + CASE WHEN regexp_matches(meaning, '{'|'.join(lookup.DOMAIN_WORDS)}') THEN 0.05 ELSE 0 END + 0.03 * least(3, length(stem) - 3) + 0.1 * content + 0.18 * sim)::DOUBLE AS score"
+        " FROM f WHERE sim >= 0.48 AND NOT (abs(length(token) - length(donor)) > 4 AND sim < 0.62))",
+    ]
+    order = "(round(score, 9), length(stem), donor)"
+    return f"WITH {', '.join(parts)} SELECT token, arg_max(meaning, {order}) AS meaning, arg_max(donor, {order}) AS donor, round(max(score), 9) AS score FROM z WHERE score >= 0.82 GROUP BY token"
+
+
+@query("declension_lemmas", _declension_sql())
+def declension_lemmas(spark: Session, sf: str) -> DataFrame:
+    """Words of part names declined, and the words that their class stems lead back to."""
+    n = names(spark, sf).filter(F.length("form") > 3)
+    made = [F.concat(F.substr("form", F.lit(1), F.length("form") - k), F.lit(e)) for e in LATIN_TOKENS for k in (0, 1, 2)]
+    kings = F.concat("meaning", F.when(F.length("form") % 3 == 0, "_king").otherwise(""))
+    found = lookup.declension_lemmas(n.select(F.explode(F.array(*made)).alias("token")).distinct(), store(spark, sf).select("form", kings.alias("meaning")))
+    return found.select("token", "meaning", "donor", F.round("score", 9).alias("score"))
+
+
+PREFIXES, PEEL_ENDINGS = ["poly", "pseudo", "neo", "hydro"], ["s", "e"]
+SQL_COMPOUNDS = f"(SELECT 'pseudo' || form AS token FROM {SQL_NAMES} UNION SELECT 'neo' || form || 'ing' FROM {SQL_NAMES} UNION SELECT 'hydro' || left(form, length(form) - 1) FROM {SQL_NAMES} UNION SELECT form FROM {SQL_NAMES})"
+
+
+@query("compound_peel", f"""
+WITH p AS (SELECT token, rule, substr(token, length(prefix) + 1) AS rest FROM {SQL_COMPOUNDS}, (SELECT * FROM {Q.values([(0, 'pseudo'), (1, 'hydro'), (2, 'poly'), (3, 'neo')], 'rule, prefix').replace(' t(', ' u(')}) WHERE starts_with(token, prefix) AND length(token) >= 8 AND length(token) - length(prefix) >= 4),
+s AS (SELECT token, rule, c, left(rest, length(rest) - c) AS stem FROM (SELECT *, unnest(range(0, greatest(1, least(length(rest) - 2, 10)))) AS c FROM p)),
+x AS (SELECT token, rule, c, i, stem || e AS cand FROM s, (SELECT * FROM {Q.values([(0, ''), (1, 's'), (2, 'e')], 'i, e').replace(' t(', ' u(')})),
+b AS (SELECT token, arg_min(form, (rule, c, i)) AS form, arg_min(meaning, (rule, c, i)) AS meaning FROM x JOIN {SQL_STORE} ON form = cand GROUP BY token)
+SELECT t.token, form, meaning FROM {SQL_COMPOUNDS} t LEFT JOIN b ON b.token = t.token""")
+def compound_peel(spark: Session, sf: str) -> DataFrame:
+    """Words with a prefix, whole, inflected or cut; the rest, with an ending, or its stem must be in the store."""
+    form = F.col("form")
+    made = F.array(F.concat(F.lit("pseudo"), form), F.concat(F.lit("neo"), form, F.lit("ing")), F.concat(F.lit("hydro"), F.substr(form, F.lit(1), F.length(form) - 1)), form)
+    return lookup.peel_compounds(names(spark, sf).select(F.explode(made).alias("token")).distinct(), store(spark, sf), PREFIXES, PEEL_ENDINGS)
+
+
+@query("wrong_sense_pairs", f"""
+WITH x AS (SELECT word, arg_min(p_type || ' ' || p_brand, p_partkey) AS gold, arg_max(p_type || ' ' || p_brand, p_partkey) AS densify FROM (SELECT *, unnest({Q.words('p_name')}) AS word FROM part) GROUP BY word),
+y AS (SELECT word, lower(gold) AS g, lower(densify) AS d, gold, densify FROM x)
+SELECT word, gold, densify FROM y WHERE NOT (contains(g, d) OR contains(d, g) OR left(g, 4) = left(d, 4))""")
+def wrong_sense_pairs(spark: Session, sf: str) -> DataFrame:
+    """Forms of two lexicons whose glosses aren't softly equal: the first and the last part that has a word."""
+    w = table(spark, sf, "part").select(F.explode(T.words(F.col("p_name"))).alias("word"), F.concat_ws(" ", "p_type", "p_brand").alias("gloss"), F.col("p_partkey").alias("ord"))
+    gold = w.groupBy("word").agg(F.min_by("gloss", "ord").alias("gold"))
+    densify = w.groupBy("word").agg(F.max_by("gloss", "ord").alias("densify"))
+    return gold.join(densify, "word").filter(~T.soft_prefix(F.col("densify"), F.col("gold"))).select("word", "gold", "densify")
 
 
 @query("mbr_pick")
@@ -371,16 +459,18 @@ def vote_argmax(spark: Session, sf: str) -> DataFrame:
     return found.select("l_partkey", "l_suppkey", "weight", F.round("share", 9).alias("share"))
 
 
-CANDIDATES = [
-    ("manibus", "hand", "rev_lemma_end", 0.9, 0.7, 0.8), ("manibus", "hand", "decl_lemma", 0.85, 0.7, 0.8), ("manibus", "ghost", "stem_match", 0.6, 0.4, 0.8),
-    ("aquae", "water", "rev_exact", 1.0, 0.9, 0.8), ("xy", "a", "substring", 0.3, 0.2, 0.4), ("xy", "b", "substring", 0.3, 0.2, 0.4), ("xy", "c", "substring", 0.3, 0.2, 0.4),
-]
 # How far each method is trusted.
 PRIORS = [("rev_lemma_end", 1.08), ("decl_lemma", 1.10), ("stem_match", 0.92), ("rev_exact", 1.20), ("substring", 0.80)]
 
 
+SQL_CANDIDATES = (
+    "(SELECT l_orderkey AS token, 'm' || (l_suppkey % 3)::VARCHAR AS meaning, ['rev_lemma_end', 'decl_lemma', 'stem_match', 'rev_exact', 'substring'][l_linenumber % 5 + 1] AS method, l_quantity / 50 AS score,"
+    " 0.3 + l_discount * 7 AS sim, l_tax * 10 + 0.2 AS content FROM lineitem)"
+)
+
+
 @query("sense_votes", f"""
-WITH c AS (SELECT * FROM {Q.values(CANDIDATES, 'token, meaning, method, score, sim, content')}), p AS (SELECT * FROM {Q.values(PRIORS, 'method, prior')}),
+WITH c AS (SELECT * FROM {SQL_CANDIDATES}), p AS (SELECT * FROM {Q.values(PRIORS, 'method, prior')}),
 s AS (SELECT token, meaning, sum(score * (0.45 + 0.55 * sim) * prior * (0.55 + 0.45 * content)) * CASE WHEN count(DISTINCT method) >= 2 THEN 1 + 0.12 * least(3, count(DISTINCT method) - 1) ELSE 1 END * CASE WHEN count(*) >= 3 THEN 1.08 ELSE 1 END AS w,
         max(sim) AS sim, max(score) AS score, max(content) AS content FROM c JOIN p USING (method) GROUP BY ALL),
 t AS (SELECT *, w / sum(w) OVER (PARTITION BY token) AS share, row_number() OVER (PARTITION BY token ORDER BY w DESC, meaning DESC) AS r FROM s),
@@ -388,8 +478,13 @@ k AS (SELECT *, least(0.96, 0.35 * share + 0.35 * sim + 0.2 * least(1.0, score)
 SELECT token, meaning, round(CASE WHEN conf >= 0.72 THEN conf ELSE greatest(conf, 0.74) END, 9) AS confidence, round(share, 9) AS share FROM k
 WHERE NOT (share < 0.38 AND sim < 0.78) AND (conf >= 0.72 OR (sim >= 0.85 AND score >= 0.88 AND share >= 0.5))""")
 def sense_votes(spark: Session, sf: str) -> DataFrame:
-    """A5."""
-    c, p = spark.sql("SELECT * FROM " + Q.values(CANDIDATES, "token, meaning, method, score, sim, content")), spark.sql("SELECT * FROM " + Q.values(PRIORS, "method, prior"))
+    """A5: the lines of an order vote, by the method that their number stands for, for a meaning."""
+    methods = F.array(*[F.lit(m) for m in ("rev_lemma_end", "decl_lemma", "stem_match", "rev_exact", "substring")])
+    c = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("token"), F.concat(F.lit("m"), (F.col("l_suppkey") % 3).cast("string")).alias("meaning"), F.element_at(methods, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("method"),
+        (F.col("l_quantity") / 50).alias("score"), (0.3 + F.col("l_discount") * 7).alias("sim"), (F.col("l_tax") * 10 + 0.2).alias("content"),
+    )
+    p = spark.sql("SELECT * FROM " + Q.values(PRIORS, "method, prior"))
     return votes.sense_vote(c, p).select("token", "meaning", F.round("confidence", 9).alias("confidence"), F.round("share", 9).alias("share"))
 
 
@@ -658,14 +753,14 @@ def key_set_operations(spark: Session, sf: str) -> DataFrame:
     return n(a.intersect(b), "both").union(n(b.subtract(a), "only"))
 
 
-CLUSTERS = [("hand", "palm", "hand"), ("palm", "hand", "hand"), ("water", "sea", "sea"), ("sea", "hand", "ox")]
-
-
-@query("cluster_sets", f"SELECT array_to_string(list_sort(list_distinct([a, b, c])), '|') AS members, count(*) AS n, bool_or(list_has_any([a, b, c], ['hand'])) AS touches FROM {Q.values(CLUSTERS, 'a, b, c')} GROUP BY 1")
+@query("cluster_sets", f"""
+WITH c AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 7)) AS s FROM lineitem GROUP BY l_orderkey)
+SELECT array_to_string(s, '|') AS members, count(*) AS n, any_value(list_has_any(s, [0, 3])) AS touches FROM c GROUP BY s""")
 def cluster_sets(spark: Session, sf: str) -> DataFrame:
-    """Clusters as sets, overlap and equality."""
-    c = spark.sql("SELECT * FROM " + Q.values(CLUSTERS, "a, b, c")).select(F.array("a", "b", "c").alias("s"))
-    return c.groupBy(F.array_join(F.array_sort(F.array_distinct("s")), "|").alias("members")).agg(F.count("*").alias("n"), F.bool_or(F.arrays_overlap("s", F.array(F.lit("hand")))).alias("touches"))
+    """Orders as sets of seven classes of suppliers; equal sets are one, and some overlap a given one."""
+    c = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 7)).alias("s"))
+    touches = F.arrays_overlap("s", F.array(F.lit(0).cast("long"), F.lit(3).cast("long")))
+    return c.groupBy(F.array_join(F.col("s").cast("array<string>"), "|").alias("members")).agg(F.count("*").alias("n"), F.bool_or(touches).alias("touches"))
 
 
 @query("greedy_knowledge_dedupe")
