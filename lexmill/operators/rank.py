@@ -35,6 +35,18 @@ def pick(df: DataFrame, by: str, score: Column, order: str, columns: list[str])
     return df.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(score, -F.col(order))).alias("r")).select(by, "r.*")
 
 
+def learned(train: DataFrame, rows: DataFrame, features: list[str], label: str, model: str = "logistic") -> DataFrame:
+    """rows with p, the probability of the label by a logistic model or boosted trees fitted on train."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    assembled = VectorAssembler(inputCols=features, outputCol="features")
+    kinds = {"logistic": LogisticRegression(labelCol=label, regParam=0.01, maxIter=20), "trees": GBTClassifier(labelCol=label, maxIter=8, maxDepth=3, seed=1)}
+    fitted = kinds[model].fit(assembled.transform(train))
+    return fitted.transform(assembled.transform(rows)).withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def minimum_risk(pools: DataFrame, sharpness: float = 1.5) -> DataFrame:
     """sent_id, hyp: greatest expected sentence BLEU against its pool under softmax(sharpness * gen), with a slight
     preference for likely ones. Pairs stay inside a pool, which decoding bounds (sent_id, place, hyp, gen)."""

@@ -9,7 +9,7 @@ from lexmill.functions import text as T
 from lexmill.operators import corpus, graph, iterate, lookup, merge, retrieve, votes
 from lexmill.plans import sql as Q
 from lexmill.plans.function_queries import SQL_NAMES, SQL_TURNS, _turns, names
-from lexmill.plans.join_queries import SQL_BINDINGS, SQL_STORE, bindings, misspelt, store
+from lexmill.plans.join_queries import SQL_BINDINGS, SQL_MISSPELT, SQL_STORE, bindings, misspelt, store
 from lexmill.plans.registry import query
 from lexmill.session import shared_path, table
 from lexmill.sources import sinks
@@ -75,7 +75,23 @@ def domain_graph_edges(spark: Session, sf: str) -> DataFrame:
     return graph.domain_edges(_domains(spark, sf)).select("i", "j", F.round("w", 9).alias("w"))
 
 
-@query("multi_hop_attention")
+def _attention_sql() -> str:
+    soft = "SELECT *, exp((x - max(x) OVER ()) / 0.85) / sum(exp((x - mx) / 0.85)) OVER () AS h FROM (SELECT *, max(x) OVER () AS mx FROM ({}))"
+    parts = [
+        "d AS (SELECT n_nationkey AS i, n_regionkey AS r, n_nationkey / 50.0::DOUBLE AS s, CASE WHEN n_nationkey = 7 THEN 1.0 ELSE 0.0 END::DOUBLE AS q FROM nation)",
+        "p AS (SELECT a.i AS i, b.i AS j, CASE WHEN a.r = b.r AND a.r <> 0 THEN 0.55 ELSE 0 END + 0.25 * (1 - abs(a.s - b.s)) + CASE WHEN a.r = b.r THEN 0.2 ELSE 0 END AS w, (b.i - a.i = 1 OR (a.i = 0 AND b.i = 24)) AS ring FROM d a JOIN d b ON a.i < b.i)",
+        "k AS (SELECT i, j, CASE WHEN ring THEN greatest(CASE WHEN w > 0.15 THEN w ELSE 0 END, 0.08) WHEN w > 0.15 THEN w ELSE 0 END AS w FROM p)",
+        "e AS (SELECT i, j, w FROM k WHERE w > 0 UNION ALL SELECT j, i, w FROM k WHERE w > 0)", "g AS (SELECT i, sum(w) AS deg FROM e GROUP BY i)",
+        f"h0 AS ({soft.format('SELECT i, 3.0 * (0.65 * q + 0.35 * (0.5 + 0.5 * tanh(s)) * q) AS x FROM d')})",
+    ]
+    for n in range(1, 5):
+        sent = f"(SELECT e.i, sum(e.w * h) AS m FROM e JOIN h{n - 1} z ON z.i = e.j GROUP BY e.i)"
+        x = f"SELECT d.i, 2.5 * (0.4 * z.h + 0.6 * (0.55 * coalesce(m / sqrt(deg), 0) + 0.45 * q * (1 + abs(s)))) AS x FROM d JOIN h{n - 1} z ON z.i = d.i LEFT JOIN {sent} y ON y.i = d.i LEFT JOIN g ON g.i = d.i"
+        parts.append(f"h{n} AS ({soft.format(x)})")
+    return f"WITH {', '.join(parts)} SELECT i AS idx, round(h, 9) AS p FROM h4"
+
+
+@query("multi_hop_attention", _attention_sql())
 def multi_hop_attention(spark: Session, sf: str) -> DataFrame:
     """A query spread over the domain graph in unrolled hops."""
     d = _domains(spark, sf)
@@ -83,12 +99,12 @@ def multi_hop_attention(spark: Session, sf: str) -> DataFrame:
     return graph.attention(d, graph.domain_edges(d), q).select("idx", F.round("p", 9).alias("p"))
 
 
-@query("climb_loop", f"SELECT count(*) AS resolved FROM {SQL_NAMES}")
+@query("climb_loop", f"""
+SELECT token, arg_max(meaning, length(form)) AS meaning FROM (SELECT token, left(token, unnest(range(greatest(3, length(token) - 4), length(token) + 1))) AS cut FROM {SQL_MISSPELT}) JOIN {SQL_STORE} ON form = cut GROUP BY token""")
 def climb_loop(spark: Session, sf: str) -> DataFrame:
     """Score, learn from misses, repeat to a plateau; the state is written each round. Training and
     evaluation keys are kept apart, so what is learnt from a miss is a stem and never the evaluated form."""
-    found = iterate.climb(misspelt(spark, sf), store(spark, sf), rounds=3)
-    return found.agg(F.count("*").alias("resolved"))
+    return iterate.climb(misspelt(spark, sf), store(spark, sf), rounds=3)
 
 
 @query("stem_install", f"""
@@ -154,39 +170,53 @@ def conversation_turns(spark: Session, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", "tokens", F.sum("tokens").over(w).alias("so_far"), kind.alias("kind"))
 
 
-PLANS = [(1, "english_meta", 3, 4, 0.2, 0, 0, 0, 0), (2, "mixed", 0, 4, 0.9, 2, 1, 5, 1), (3, "science_query", 1, 2, 0.5, 1, 0, 5, 0), (4, "mixed", 2, 9, 0.9, 1, 1, 1, 0)]
+SQL_PLANS = (
+    "(SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'english_meta' WHEN 1 THEN 'mixed' ELSE 'science_query' END AS mode, o_custkey % 4 AS u, o_orderkey % 9 AS t, (o_custkey % 10) / 10.0::DOUBLE AS r,"
+    " o_custkey % 2 AS session, o_orderkey % 5 % 2 AS archive, o_custkey % 6 AS ledger, o_orderkey % 2 AS teach FROM orders)"
+)
 
 
 @query("densify_plans", f"""
 SELECT id, len(reasons)::INT AS n_reasons, len(reasons) >= 2 OR (u >= 2 AND archive = 0) AS thin, CASE WHEN len(reasons) >= 2 OR u >= 1 THEN array_to_string(acts[1:3], ',') ELSE '' END AS actions FROM (
   SELECT *, list_filter([CASE WHEN u >= 2 THEN 'u' END, CASE WHEN t > 0 AND u >= 0.4 * t THEN 'h' END, CASE WHEN r < 0.45 THEN 'l' END, CASE WHEN session = 0 THEN 's' END, CASE WHEN archive = 0 THEN 'a' END, CASE WHEN ledger < 2 THEN 'd' END, CASE WHEN mode = 'english_meta' AND teach = 0 THEN 'm' END], lambda x: x IS NOT NULL) AS reasons,
     list_filter([CASE WHEN mode = 'english_meta' THEN 'teach_inject' END, CASE WHEN archive = 0 THEN 'archive_note' END, CASE WHEN u >= 2 THEN 'lexicon_seed' END, CASE WHEN ledger < 2 THEN 'ledger_claim' END], lambda x: x IS NOT NULL) AS acts
-  FROM {Q.values(PLANS, 'id, mode, u, t, r, session, archive, ledger, teach')})""")
+  FROM {SQL_PLANS})""")
 def densify_plans(spark: Session, sf: str) -> DataFrame:
-    """G15."""
-    rows = spark.sql("SELECT * FROM " + Q.values(PLANS, "id, mode, unresolved, tokens, map_rate, session, archive, ledger, teach"))
+    """A plan for each order, whose keys stand for what is known of a turn."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf, "orders").select(
+        o.alias("id"), F.when(o % 3 == 0, "english_meta").when(o % 3 == 1, "mixed").otherwise("science_query").alias("mode"), (c % 4).alias("unresolved"), (o % 9).alias("tokens"),
+        (c % 10 / 10.0).alias("map_rate"), (c % 2).alias("session"), (o % 5 % 2).alias("archive"), (c % 6).alias("ledger"), (o % 2).alias("teach"),
+    )
     return retrieve.densify_plan(rows).select("id", F.size("reasons").alias("n_reasons"), "thin", F.array_join("actions", ",").alias("actions"))
 
 
-GATES = [(1, 0.9, 1, 0.5, False), (2, 0.6, 2, 0.5, False), (3, 0.5, 3, 0.6, False), (4, 0.71, 0, 0.8, False), (5, 0.9, 2, 0.5, True), (6, 0.8, 1, 0.5, True), (7, 0.3, 9, 0.9, False)]
-
-
-@query("gap_acceptance", f"""
-SELECT id, CASE WHEN meta AND sim >= 0.88 AND n >= 2 THEN 'high_sim_meta_donor' WHEN meta THEN 'meta_meaning_blocked' WHEN sim >= 0.74 AND n >= 1 THEN 'high_form_similarity' WHEN sim >= 0.58 AND n >= 2 THEN 'moderate_sim_multi_neighbor'
+@query("gap_acceptance", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN meta AND sim >= 0.88 AND n >= 2 THEN 'high_sim_meta_donor' WHEN meta THEN 'meta_meaning_blocked' WHEN sim >= 0.74 AND n >= 1 THEN 'high_form_similarity' WHEN sim >= 0.58 AND n >= 2 THEN 'moderate_sim_multi_neighbor'
   WHEN sim >= 0.48 AND n >= 3 AND content >= 0.5 THEN 'neighborhood_vote_content' WHEN sim >= 0.70 AND content >= 0.7 THEN 'high_sim_content_gloss' ELSE 'below_evidence_threshold' END AS reason,
   CASE WHEN sim >= 0.75 AND n >= 1 THEN 'high_form_similarity' WHEN sim >= 0.55 AND n >= 3 THEN 'moderate_sim_multi_neighbor' WHEN n >= 5 AND sim >= 0.4 THEN 'strong_neighborhood_vote' ELSE 'below_evidence_threshold' END AS lineage
-FROM {Q.values(GATES, 'id, sim, n, content, meta')}""")
+FROM (SELECT *, l_discount * 9.3 AS sim, l_linenumber - 1 AS n, l_quantity / 50 AS content, l_returnflag = 'R' AS meta FROM lineitem)""")
 def gap_acceptance(spark: Session, sf: str) -> DataFrame:
-    """Both acceptance gates."""
-    g = spark.sql("SELECT * FROM " + Q.values(GATES, "id, sim, n, content, meta"))
+    """Both acceptance gates over the lines of orders as proposals."""
     c = F.col
-    return g.select("id", votes.gap_gate(c("sim"), c("n"), c("content"), c("meta")).alias("reason"), votes.lineage_gate(c("sim"), c("n")).alias("lineage"))
+    sim, n = c("l_discount") * 9.3, c("l_linenumber") - 1
+    reason = votes.gap_gate(sim, n, c("l_quantity") / 50, c("l_returnflag") == "R")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reason.alias("reason"), votes.lineage_gate(sim, n).alias("lineage"))
 
 
 SQL_WRONG = f"(SELECT DISTINCT left(form, length(form) - 1) || 'x' AS a FROM {SQL_NAMES} WHERE length(form) >= 5)"
 
 
-@query("gap_fill_votes")
+SQL_LIKE = f"0.65 * {Q.edit_similarity('x.a', 'y.form')} + 0.35 * {Q.dice('x.a', 'y.form')}"
+
+
+@query("gap_fill_votes", f"""
+WITH p AS (SELECT a, form AS b, sim FROM (SELECT x.a, y.form, {SQL_LIKE} AS sim FROM {SQL_WRONG} x JOIN {SQL_NAMES} y ON left(x.a, 1) = left(y.form, 1) AND abs(length(x.a) - length(y.form)) <= 3 AND x.a <> y.form) WHERE sim >= 0.35),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b DESC) AS r FROM p) WHERE r <= 5),
+v AS (SELECT a, meaning, sum(sim) AS w, max(sim) AS sim, count(*) FILTER (sim >= 0.45) AS n FROM t JOIN {SQL_STORE} ON form = b GROUP BY ALL),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, meaning DESC) AS r FROM v) WHERE r = 1)
+SELECT a, meaning, round(sim, 9) AS similarity, CASE WHEN sim >= 0.74 AND n >= 1 THEN 'high_form_similarity' WHEN sim >= 0.58 AND n >= 2 THEN 'moderate_sim_multi_neighbor'
+  WHEN sim >= 0.48 AND n >= 3 THEN 'neighborhood_vote_content' ELSE 'below_evidence_threshold' END AS reason FROM z""")
 def gap_fill_votes(spark: Session, sf: str) -> DataFrame:
     """For unknown forms the five nearest of the lexicon vote, and the gate decides."""
     from lexmill.operators.similarity import band_pairs, top_donors
@@ -216,11 +246,12 @@ def registered_functions(spark: Session, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.expr("lexmill_slug(p_name)").alias("slug")).groupBy("slug").agg(F.count("*").alias("n"))
 
 
-@query("judge_choice", "SELECT id, choice FROM (VALUES (1, 2), (2, 3), (3, NULL)) AS t(id, choice)")
+@query("judge_choice", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size + 100 END::INT AS choice FROM part")
 def judge_choice(spark: Session, sf: str) -> DataFrame:
-    """The choice in a judge's answer; the judge itself is out of scope."""
-    rows = spark.createDataFrame([(1, "I choose candidate 2."), (2, "Answer: 3"), (3, "none")], "id int, answer string")
-    return rows.select("id", F.nullif(F.regexp_extract("answer", r"(\d+)", 1), F.lit("")).cast("int").alias("choice"))
+    """The choice in a judge's answer, one for each part; the judge itself is out of scope."""
+    k, size = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+    answer = F.when(k == 0, F.concat(F.lit("I choose candidate "), size, F.lit(", not 7."))).when(k == 1, F.concat(F.lit("Answer: "), (F.col("p_size") + 100).cast("string"))).otherwise("none of them")
+    return table(spark, sf, "part").select("p_partkey", F.nullif(F.regexp_extract(answer, r"(\d+)", 1), F.lit("")).cast("int").alias("choice"))
 
 
 @query("event_windows", "SELECT epoch(time_bucket(INTERVAL '1 hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -265,13 +296,21 @@ def session_windows(spark: Session, sf: str) -> DataFrame:
     return e.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
 
 
-@query("watermarked_stream")
+@query("watermarked_stream", """
+SELECT epoch(start)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, value FROM events) w
+WHERE w.start + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY w.start, event_type""")
 def watermarked_stream(spark: Session, sf: str) -> DataFrame:
-    """R2: the windows of a stream of files with a watermark, run until no input is left."""
-    return streams.run_available(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    """R2: the windows of a stream of files that its watermark has closed, run until no input is left."""
+    w = streams.run_available(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+    return w.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("session_rate_limit")
+@query("session_rate_limit", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT user_id, event_id, k, true AS admitted, t AS last, t AS hour, 1 AS n FROM e WHERE k = 1
+  UNION ALL SELECT user_id, event_id, k, ok, CASE WHEN ok THEN t ELSE last END, CASE WHEN near THEN hour WHEN fresh THEN t ELSE hour END, CASE WHEN near THEN n WHEN fresh THEN 1 WHEN ok THEN n + 1 ELSE n END
+  FROM (SELECT *, NOT near AND (fresh OR n < 40) AS ok FROM (SELECT e.user_id, e.event_id, e.k, e.t, s.last, s.hour, s.n, e.t - s.last < 2 AS near, e.t - s.hour > 3600 AS fresh FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+SELECT user_id, event_id, admitted FROM s""")
 def session_rate_limit(spark: Session, sf: str) -> DataFrame:
     """At least two seconds between actions and at most 40 an hour from an hour's first action, per user."""
     return streams.rate_limited(table(spark, sf, "events").select("user_id", "ts", "event_id"))
