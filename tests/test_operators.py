@@ -192,3 +192,15 @@ def test_a_learned_picker_beats_chance_on_rows_it_has_not_seen(spark, model):
     df = spark.range(600).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("noise")).withColumn("label", (F.col("x") > 3).cast("double"))
     scored = rank.learned(df.filter("id < 400"), df.filter("id >= 400"), ["x", "noise"], "label", model)
     assert scored.filter((F.col("p") > 0.5) == (F.col("label") == 1)).count() >= 190
+
+
+def test_nearest_by_blocks_equals_each_pair(spark):
+    """Ties by key through copies, a query's own key, a missing vector, another length and a zero vector."""
+    values = [(i, [1.0, float(i % 7), 2.0]) for i in range(300)] + [(300, None), (301, [1.0, 2.0]), (302, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(values, "id long, v array<float>")
+    got = similarity.nearest(df.filter("id % 50 = 0"), df, "id", "v", 3)
+    found = [tuple(r) for r in got.select("q", "id", F.round("cosine", 6)).orderBy("q", "place").collect()]
+    pairs = df.alias("b").join(df.filter("id % 50 = 0").select(F.col("id").alias("q"), F.col("v").alias("w")), F.col("id") != F.col("q")).select("q", "id", F.round(similarity.cosine(F.col("w"), F.col("v")), 9).alias("c"))
+    want = similarity.best_of(pairs, ["q"], [F.desc("c"), F.col("id")], 3)
+    assert found == [tuple(r) for r in want.select("q", "id", F.round("c", 6)).orderBy("q", "place").collect()]
+    assert [r[1] for r in found if r[0] == 50] == [1, 8, 15] and [r[1:] for r in found if r[0] == 300] == [(0, None), (1, None), (2, None)]
