@@ -506,7 +506,7 @@ WITH {SQL_CO} SELECT s, t, c FROM (SELECT s, t, c, n, row_number() OVER (PARTITI
 WHERE r = 1 AND n >= 5 AND c >= 3 AND t <> s AND length(t) <= 40 AND (c >= 0.08 * n OR c >= 20)""")
 def cooccurrence_top1(spark: Session, sf: str) -> DataFrame:
     """Unigrams."""
-    return corpus.top_translation(corpus.cooccurrence(_turns(spark, sf), "hyp", "ref"))
+    return corpus.best_partners(_turns(spark, sf), "hyp", "ref")
 
 
 @query("bigram_alignment_top1")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, graph, iterate, lookup, merge, rank, retrieve, similarity, votes
+from lexmill.operators import cells, corpus, graph, iterate, lookup, merge, rank, retrieve, similarity, votes
 
 
 def rows(df):
@@ -204,3 +204,20 @@ def test_nearest_by_blocks_equals_each_pair(spark):
     want = similarity.best_of(pairs, ["q"], [F.desc("c"), F.col("id")], 3)
     assert found == [tuple(r) for r in want.select("q", "id", F.round("c", 6)).orderBy("q", "place").collect()]
     assert [r[1] for r in found if r[0] == 50] == [1, 8, 15] and [r[1:] for r in found if r[0] == 300] == [(0, None), (1, None), (2, None)]
+
+
+def _pairs(spark):
+    """Copies, empty and missing sides, repeated words and ties."""
+    words = ["aqua", "manus", "et", "in", "rex", "x"]
+    text = lambda i, n: " ".join(words[(i * 7 + j * j + i * j) % (3 + i % 4)] for j in range(n))
+    rows_ = [(text(i, i % 9), text(i + 3, (i * 5) % 8)) for i in range(60)] + [(text(4, 6), text(5, 7))] * 3 + [(None, "et in"), ("et in", None), ("", "et")]
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows_)], "id long, src string, ref string")
+
+
+def test_partners_counted_in_arrays_equal_those_counted_in_rows(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BUCKET", 200)
+    for limits in ((5, 3, 0.08, 20), (1, 1, 0.0, 1), (5, 3, 0.9, 40)):
+        got = rows(corpus.best_partners(_pairs(spark), "src", "ref", *limits))
+        want = corpus.top_translation(corpus.cooccurrence(_pairs(spark)), *limits)
+        assert got == rows(want)
+        assert got or limits[2] == 0.9
