@@ -512,8 +512,7 @@ def cooccurrence_top1(spark: Session, sf: str) -> DataFrame:
 @query("bigram_alignment_top1")
 def bigram_alignment_top1(spark: Session, sf: str) -> DataFrame:
     """Bigrams in two passes, independent of the corpus' order."""
-    t = _turns(spark, sf).select(F.col("hyp").alias("src"), "ref")
-    best = corpus.bigram_alignment(t, corpus.cooccurrence(t))
+    best = corpus.bigram_alignment(_turns(spark, sf), "hyp", "ref")
     return best.groupBy("s").agg(F.min_by(F.struct("t", "c"), F.struct(-F.col("c"), "t")).alias("r")).select("s", "r.*").filter("c >= 2")
 
 

@@ -221,3 +221,18 @@ def test_partners_counted_in_arrays_equal_those_counted_in_rows(spark, monkeypat
         want = corpus.top_translation(corpus.cooccurrence(_pairs(spark)), *limits)
         assert got == rows(want)
         assert got or limits[2] == 0.9
+
+
+def test_bigrams_are_aligned_as_by_a_loop(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(cells, "BUCKET", 200)
+    split = [((a or "").split(), (b or "").split()) for _, a, b in _pairs(spark).collect()]
+    c, want = Counter(), Counter()
+    for s, t in split:
+        c.update((x, y) for x in s for y in t)
+    for s, t in {(tuple(s), tuple(t)) for s, t in split}:
+        for i in range(len(s) - 1 if len(t) > 1 else 0):
+            j = max(range(len(t) - 1), key=lambda j: (c[s[i], t[j]] + c[s[i + 1], t[j + 1]], -j))
+            want[f"{s[i]} {s[i + 1]}", f"{t[j]} {t[j + 1]}"] += 1
+    assert rows(corpus.bigram_alignment(_pairs(spark))) == sorted((*k, n) for k, n in want.items())
