@@ -236,3 +236,19 @@ def test_bigrams_are_aligned_as_by_a_loop(spark, monkeypatch):
             j = max(range(len(t) - 1), key=lambda j: (c[s[i], t[j]] + c[s[i + 1], t[j + 1]], -j))
             want[f"{s[i]} {s[i + 1]}", f"{t[j]} {t[j + 1]}"] += 1
     assert rows(corpus.bigram_alignment(_pairs(spark))) == sorted((*k, n) for k, n in want.items())
+
+
+def test_decode_sends_no_words_of_the_texts_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, "in rege et aqua " * 50) for i in range(400)], "id long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))  # a file of a few kB
+    phrases = spark.createDataFrame([(f"w{i}", "x" * 40) for i in range(2000)] + [("in rege", "to-king"), ("aqua", "water")], "s string, t string")
+    got = corpus.decode(spark.read.parquet(str(tmp_path / "t")), phrases)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["out"] for r in got.collect()} == {" ".join(["to-king et water"] * 50)} and got.count() == 400
+
+
+def test_decode_takes_the_longest_phrase_of_each_text(spark):
+    texts = [(1, "A b  c d"), (1, "b c a"), (None, "c a b"), (2, None), (3, ""), (4, "b c")]  # equal and missing ids
+    table = [("a", "1"), ("b c", "23"), ("c", "3"), ("a b c d", "no: too long"), ("c  d", "no: two spaces")]
+    got = corpus.decode(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(table, "s string, t string"))
+    assert rows(got) == sorted([(1, "1 23 d"), (1, "23 1"), (None, "3 1 b"), (2, ""), (3, ""), (4, "23")], key=repr)
+    assert rows(corpus.decode(spark.createDataFrame(texts[:1], "id long, text string"), spark.createDataFrame([], "s string, t string"))) == [(1, "a b c d")]
