@@ -588,9 +588,14 @@ def field_pooling(spark: Session, sf: str) -> DataFrame:
 
 @query("ordered_alternates", "SELECT l_partkey, list(l_shipmode ORDER BY first) AS alternates FROM (SELECT l_partkey, l_returnflag || l_linestatus AS l_shipmode, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY ALL) GROUP BY l_partkey")
 def ordered_alternates(spark: Session, sf: str) -> DataFrame:
-    """Different alternates in the order of their first appearance; distinct before they are collected."""
-    first = table(spark, sf, "lineitem").groupBy("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("g")).agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return first.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "g"))), lambda x: x["g"]).alias("alternates"))
+    """Different alternates in the order of their first appearance; distinct before they are collected. The SQL leaves
+    open which of two equal ones comes first: it is the one whose first row stands first, files by path, as in DuckDB run by one thread."""
+    rows = table(spark, sf, "lineitem").select("l_partkey", F.concat("l_returnflag", "l_linestatus").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "_metadata.file_path", "_metadata.row_index")
+    files = rows.select("file_path").distinct().select("file_path", F.row_number().over(Window.orderBy("file_path")).cast("long").alias("file"))
+    placed = rows.join(F.broadcast(files), "file_path")  # one row per file
+    first = placed.groupBy("l_partkey", "g").agg(F.min("ord").alias("ord"), F.min(F.shiftleft("file", 40) + F.col("row_index")).alias("place"))
+    order = F.struct(F.col("ord").isNull().alias("last"), "ord", "place", "g")
+    return first.groupBy("l_partkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["g"]).alias("alternates"))
 
 
 @query("entropy_concentration", """

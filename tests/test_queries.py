@@ -42,6 +42,19 @@ def test_query(spark, oracle, name):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
 
 
+def test_alternates_that_appear_at_once_are_in_the_order_of_their_rows(spark, tmp_path):
+    c = duckdb.connect(config={"threads": 1})  # more threads leave the order of ties to chance
+    (tmp_path / "lineitem.parquet").mkdir()
+    for file in range(3):
+        c.execute(f"""COPY (SELECT CASE WHEN p < 300 THEN p END AS l_partkey, CASE WHEN hash(p, q) % 5 > 0 THEN p // 2 END AS l_orderkey, 1 + (hash(q, p) % 2)::INT AS l_linenumber,
+            chr(65 + (hash(p, q, 1) % 26)::INT) AS l_returnflag, CASE WHEN q > 0 THEN chr(65 + (hash(p, q, {file}) % 2)::INT) END AS l_linestatus
+            FROM range(301) t(p), range(3) s(q) WHERE (p + q) % 3 <> {file}) TO '{tmp_path}/lineitem.parquet/{2 - file}.parquet'""")
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = c.execute(registry.oracle_sql()["ordered_alternates"]).fetchall()
+    got = registry.queries()["ordered_alternates"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_nothing_else_imports_the_optional_subpackage():
     import pathlib
 
